@@ -12,8 +12,11 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +61,11 @@ def stored(df: DataFrame) -> DataFrame:
 def doc_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text without nulls, and further columns by name."""
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def per_worker(key: tuple, make: Callable):
+    """``make()`` once in a Python worker, however many of its tasks ask for it."""
+    kept = sys.modules.setdefault("_tidefold_per_worker", types.ModuleType("_tidefold_per_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

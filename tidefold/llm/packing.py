@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import cut, doc_text
+from tidefold.llm.common import cut, doc_text, per_worker
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -63,7 +63,7 @@ def pieces_of(docs: DataFrame, encoder, capacity: int = 2048, end_id: int = 0) -
     and of these only the first piece may be shorter.  ``encoder``: makes an Encoder in a task."""
 
     def run(batches):
-        encode = encoder()
+        encode = per_worker(("encoder", encoder.__name__), encoder)
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:

@@ -19,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidefold.llm.common import doc_text
+from tidefold.llm.common import doc_text, per_worker
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -61,7 +61,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, split_chars: in
     """
 
     def run(batches):
-        count, boundary = _counter(model)
+        count, boundary = per_worker(("counter", model), lambda: _counter(model))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             total = [0] * len(texts)
