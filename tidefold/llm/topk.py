@@ -64,7 +64,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 #: Stands for "no candidate yet": below any score.
-NONE = np.iinfo(np.int64).min
+NONE = np.iinfo(np.int64).min + 1  # one more, so that it can be negated
 NO_ID = np.iinfo(np.int64).max
 
 
