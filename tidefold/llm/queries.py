@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import chat, mixing, packing, quality, secrets, tokencount, topk
+from tidefold.llm import chat, minhash, mixing, packing, quality, secrets, tokencount, topk
 from tidefold.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe, 2048)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -110,6 +114,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scans": op5_secret_scans,
         "op6_chat_formatting": op6_chat_formatting,
