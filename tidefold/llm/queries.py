@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import chat, minhash, mixing, packing, quality, secrets, tokencount, topk
+from tidefold.llm import chat, minhash, mixing, packing, quality, secrets, substring, tokencount, topk, toxicity
 from tidefold.llm.common import table
 
 
@@ -27,6 +27,11 @@ def byte_bpe() -> packing.Encoder:
     return packing.Encoder(tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "nearest")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe, 2048)
 
@@ -49,6 +54,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -113,11 +122,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scans": op5_secret_scans,
         "op6_chat_formatting": op6_chat_formatting,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_mixing": op8_mixing,
         "op9_token_counts": op9_token_counts,
         "op10_exact_top_k": op10_exact_top_k,
