@@ -150,8 +150,8 @@ def battery(token: Column, tolerance: float) -> Column:
     return F.when(name.isNotNull(), letters)
 
 
-def found(docs: DataFrame, least: int, tolerance: float, *more: str) -> DataFrame:
-    """doc_id, base (spans), candidates (start, end, cls, logp) and further columns."""
+def found(docs: DataFrame, least: int, tolerance: float, *more: Column) -> DataFrame:
+    """doc_id, base (spans), candidates (start, end, b) and further columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(hits(text, ASSIGN, 1), lambda s: F.char_length(s["part"]) >= 6)
     base = F.array_sort(F.concat(kind(assign, "assign"), kind(hits(text, ACCESS), "access"), kind(hits(text, HEX), "hex")))
@@ -178,19 +178,20 @@ def bin_of(logp: Column) -> Column:
     return F.least(F.lit(LAST_BIN), F.floor(BINS_PER_E * logp)).cast("int")
 
 
-def scan(docs: DataFrame, least: int = 20, tolerance: float = 3.3, fdr: float = 0.01, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, least: int = 20, tolerance: float = 3.3, fdr: float = 0.01, whole: bool = False) -> DataFrame:
     """doc_id, base and spans (both array<struct<start, kind, end>>, kind as a place in KINDS).
 
-    ``keep`` names columns of ``docs`` to carry along (they are read again, not stored).
+    With ``whole`` also ``row``, a struct of all columns of ``docs``; texts are then read twice.
     """
-    rows = found(docs, least, tolerance, *keep)
-    seen = cut(rows.select("doc_id", "base", "candidates")) if not keep else rows
+    more = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole else []
+    rows = found(docs, least, tolerance, *more)
+    seen = rows if whole else cut(rows)
     table = cuts(seen, fdr)
-    # three rows at most, one for each class of lengths
+    # one row: a map of three entries at most, one for each class of lengths
     bounds = table.agg(F.map_from_entries(F.collect_list(F.struct("cls", "least_bin"))).alias("bounds"))
     rows = seen.join(F.broadcast(bounds), how="cross")
     passed = F.filter("candidates", lambda c: bin_of(c["b"]["logp"]) >= F.coalesce(F.try_element_at("bounds", c["b"]["cls"]), F.lit(LAST_BIN + 1)))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", kind(passed, "random"))).alias("spans"), *keep)
+    return rows.select("doc_id", "base", F.array_sort(F.concat("base", kind(passed, "random"))).alias("spans"), *["row"] * whole)
 
 
 def written(spans: Column) -> Column:
@@ -215,3 +216,19 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """``docs``, all rows and columns, with every span masked; n_chars, if there, follows the text."""
+    rows = scan(docs, whole=True)
+    rows = rows.select("row", "spans", redacted(F.col("row.text"), F.col("spans")).alias("text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        old = F.col("row").getField(name)
+        if name == "n_chars":
+            old = F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema[name].dataType)).otherwise(old)
+        return old.alias(name)
+
+    return rows.select(*map(column, docs.columns))
