@@ -8,17 +8,17 @@ Ranks are worked off level by level for a whole batch; a document stops as soon
 are taken, after one or two levels if it is long.
 
 Documents with equal sets form classes first, so copies cost nothing later.  Signatures are cut
-into bands; classes that share a band are candidates:
+into bands; classes that share a band, at sizes that allow the threshold, are candidates:
 
-1. Each class is compared with the least class of each of its bands (a star, not all pairs).
-2. Components of the links so found are labelled.  What remains are bands with several
-   components; there, all pairs between *different* components are compared.  So no link between
-   two components is missed that shares a band, and pairs inside a component are never made.
+1. Each class is tied to the least class of each of its bands (a star, not all pairs).  Components
+   of these ties are *families*; a link never leaves a family that shares a band with it.
+2. A family's sets are cut into blocks, and each pair of blocks is verified in a task: exact
+   intersections of all its sets by products of 0/1 matrices over shared shingles.  Only a spanning
+   forest of the links found leaves the task, so pairs are never emitted.
+3. Union-find, within tasks and then between them, labels the components of these links.
 
-A pair goes on to verification only if the set sizes allow the threshold and the signatures agree
-in at least ``floor_`` of the slots (six standard deviations below the threshold).  Verification
-intersects the full sets.  With 32 bands of 6 slots a link at the threshold of 0.85 shares no
-band with a chance of 3 in 10 million.
+With 32 bands of 6 slots a link at the threshold of 0.85 shares no band with a chance of 3 in 10
+million.
 
 Words: as ``common``; A-Z are lowered.  With fewer words than a shingle has, the whole sequence is
 the one shingle.  Without words, and for null texts, the set is empty and linked with nothing.
@@ -29,6 +29,8 @@ by their texts only; as nodes of the graph they are one document.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,7 +90,7 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, slots: int) -> np.ndarra
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int, slots: int) -> DataFrame:
-    """doc_id, n_shingles, k1 and k2 (the set's 128-bit key), bands, signature (16 bits a slot)."""
+    """doc_id, n_shingles, k1 and k2 (the set's 128-bit key) and bands."""
 
     def run(batches):
         words = per_worker(("words", True), lambda: Words(lower=True))
@@ -111,14 +113,13 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int, slots: int) -> Data
                 for k in range(rows):
                     band = mixed(band * M1 + used[:, :, k])
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32), pa.array(band[full].ravel().view(np.int64)))
-                bits = [x.tobytes() for x in (sig >> np.uint64(48)).astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(sizes), *keys, lists, pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(sizes), *keys, lists], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary")
+    return doc_text(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and its set as an array."""
+    """doc_id and its sorted set as bytes, 8 for each shingle."""
 
     def run(batches):
         words = per_worker(("words", True), lambda: Words(lower=True))
@@ -127,62 +128,100 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             ids = batch.column("doc_id").cast(pa.int64())
             for start, stop in by_size(texts, GROUP_CHARS):
                 elements, sizes = shingle_sets(texts[start:stop], words, n)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(elements.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), lists], names=["doc_id", "shingles"])
-
-    return doc_text(docs).mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def alike(pairs: DataFrame, classes: DataFrame, slots: int, least: int) -> DataFrame:
-    """Pairs (a, b) of ``pairs`` whose signatures agree in ``least`` slots or more."""
+                blobs = [x.tobytes() for x in np.split(elements, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+
+    return doc_text(docs).mapInArrow(run, "doc_id long, shingles binary")
+
+
+def common_sizes(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Intersection sizes of all pairs, by products of 0/1 matrices over shared shingles only."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, often = np.unique(every, return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1
+    shared = often[place] > 1
+    owner, place = owner[shared], number[place[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        some = slice(*np.searchsorted(place, (low, low + columns)))
+        m = np.zeros((len(sets), columns), np.float32)
+        m[owner[some], place[some] - low] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def linked(ids: np.ndarray, sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+    """Links that join all of a block's documents that are linked, by union-find: a spanning forest."""
+    both = common_sizes(sets)
+    sizes = np.array([len(s) for s in sets])
+    rows, cols = np.nonzero(np.triu(100 * both >= per_cent * (sizes[:, None] + sizes[None, :] - both), 1))
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(rows.tolist(), cols.tolist(), strict=True):
+        if (p := root(x)) != (q := root(y)):
+            parent[p] = q
+            out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
+def links(members: DataFrame, per_cent: int) -> DataFrame:
+    """Verified links (a, b) within each block pair of ``members`` (family, i, j, rep, shingles).
+
+    Rows arrive sorted by block pair, so a task holds one pair of blocks at a time."""
 
     def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, slots) for c in ("sig_a", "sig_b"))
-            some = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(some), batch.column("b").filter(some)], names=["a", "b"])
+        now, ids, sets = None, [], []
 
-    sig = classes.select("rep", "signature")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+        def done():
+            found = linked(np.array(ids), sets, per_cent) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
+            for key, rep, blob in zip(keys, batch.column("rep").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                if key != now:
+                    yield done()
+                    now, ids, sets = key, [], []
+                ids.append(rep)
+                sets.append(np.frombuffer(blob, np.uint64))
+        yield done()
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, per_cent: int) -> DataFrame:
-    """Those (a, b) whose full sets have 100 * intersection >= per_cent * union."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(sets_of(docs.select("doc_id", "text").join(need, "doc_id", "left_semi"), n))
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
-    return both.where(100 * F.col("common") >= per_cent * (F.col("sizes") - F.col("common"))).select("a", "b")
+    return members.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").select("family", "i", "j", "rep", "shingles").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, per_cent: int = 85, bands: int = 32, rows: int = 6, slots: int = 193) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 3, per_cent: int = 85, bands: int = 32, rows: int = 6, slots: int = 193, block: int = 64, most_blocks: int = 48, most_block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     sketched = stored(sketches(docs, n, bands, rows, slots))
-    classes = sketched.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    classes = sketched.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     classes = stored(classes.where("rep IS NOT NULL"))
-    floor_ = int(slots * (per_cent / 100 - 6 * (per_cent / 100 * (1 - per_cent / 100) / slots) ** 0.5))
-    near = (100 * F.least("size_a", "size_b") >= per_cent * F.greatest("size_a", "size_b")) & (F.col("a") != F.col("b"))
-
-    entries = classes.select(F.explode("bands").alias("band"), F.col("rep"), F.col("size"))
-    hubs = entries.groupBy("band").agg(F.min(F.struct("rep", "size")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = entries.join(hubs, "band").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("size_a"), F.col("size").alias("size_b")).where(near).select("a", "b").distinct()
-    stars = cut(alike(stars, classes, slots, floor_))
-    links = cut(verified(stars, docs, n, per_cent))
-    roots = components(links)
-
-    # bands that several components share: pairs between these components that were not compared yet
-    named = entries.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed_bands = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    open_ = named.join(mixed_bands, "band")
-    left = open_.select("band", F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    right = open_.select("band", F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    cross = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b").distinct()
-    cross = cut(alike(cross.join(stars, ["a", "b"], "left_anti"), classes, slots, floor_))
-    more = cut(verified(cross, docs, n, per_cent))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+
+    # bands of one size class and the next, so that members of a band can be linked by size
+    step = F.floor(F.log(F.col("size")) / math.log(100 / per_cent) + 1e-9)
+    entries = classes.select("rep", "bands", F.explode(F.array(step, step + 1)).alias("step"))
+    entries = entries.select(F.explode("bands").alias("band"), "step", "rep")
+    hubs = entries.groupBy("band", "step").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stars = entries.join(hubs, ["band", "step"]).where("rep <> hub").select("hub", "rep").distinct()
+    roots = components(stars)
+
+    families = roots.select(F.col("root").alias("family"), F.col("node").alias("rep")).unionByName(roots.select(F.col("root").alias("family"), F.col("root").alias("rep")).distinct())
+    sized = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.greatest(F.least(F.lit(most_blocks), F.ceil(F.col("n") / block)), F.ceil(F.col("n") / most_block)).cast("int")
+    families = families.join(sized.select("family", blocks.alias("blocks")), "family")
+    own = sets_of(docs.select("doc_id", "text").join(families.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), n)
+    members = own.join(families, F.col("doc_id") == F.col("rep")).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("family", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "rep", "shingles")
+    roots = components(links(members, per_cent))
 
     named = classes.select("k1", "k2", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
