@@ -75,24 +75,25 @@ def flow_eligibility(executions: DataFrame, edge: DataFrame) -> DataFrame:
 def skip_cascade(edge: DataFrame, policy: DataFrame, outcome: DataFrame, depth: int = MAX_CASCADE) -> DataFrame:
     """Executions that end skipped because their edge group can't be satisfied, to the fixed point.
 
-    Each round decides only groups downstream of nodes skipped in the round before, and keeps the
-    outcomes in the shared checkpoint folder, so the plan doesn't grow with the depth."""
+    Each round decides only groups downstream of nodes skipped in the round before.  It writes only
+    the newly skipped to the shared checkpoint folder (and now and then all of them as one), so
+    neither the plan nor what is written grows with the table."""
     from tidefold.operators.store import cut
 
-    known = outcome.select("execution_id", "terminal_outcome")
-    skipped = None
-    front = None
+    state = outcome.select("execution_id", "terminal_outcome")
+    known, edges, skipped = state, edge, None
     for level in range(1, depth + 1):
-        edges = edge if front is None else edge.join(edge.join(front, "upstream_eid", "left_semi").select("downstream_eid").distinct(), "downstream_eid", "left_semi")
         doomed = decisions(edges, policy, known).where("state = 'impossible'").select(F.col("downstream_eid").alias("execution_id"))
         new = cut(doomed.join(known.where("terminal_outcome = 'none'"), "execution_id", "left_semi").withColumn("level", F.lit(level)))
+        skipped = new if skipped is None else skipped.unionByName(new)
         if new.isEmpty():
             break
-        skipped = new if skipped is None else skipped.unionByName(new)
-        hit = new.select("execution_id", F.lit(True).alias("hit"))
-        known = cut(known.join(hit, "execution_id", "left").select("execution_id", F.when(F.col("hit"), "skipped").otherwise(F.col("terminal_outcome")).alias("terminal_outcome")))
-        front = new.select(F.col("execution_id").alias("upstream_eid"))
-    return skipped if skipped is not None else new
+        if level % 8 == 0:
+            skipped = cut(skipped)
+        known = state.join(skipped.select("execution_id", F.lit("skipped").alias("now")), "execution_id", "left").select("execution_id", F.coalesce("now", "terminal_outcome").alias("terminal_outcome"))
+        below = edge.join(new.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi").select("downstream_eid").distinct()
+        edges = edge.join(below, "downstream_eid", "left_semi")
+    return skipped
 
 
 def levels(edge: DataFrame, depth: int = MAX_CASCADE) -> DataFrame:
