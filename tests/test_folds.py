@@ -96,3 +96,15 @@ def test_hmac_matches_the_standard_library(spark):
     for key in (b"k", b"x" * 100):
         got = spark.createDataFrame([("hello",), ("",)], "m string").select(windows.hmac_sha1(key, F.col("m")).alias("h")).collect()
         assert [r["h"] for r in got] == [hmac.new(key, m, hashlib.sha1).hexdigest() for m in (b"hello", b"")]
+
+
+def test_key_partitions_are_crc32(spark):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from tidefold.functions.exprs import hash_partition
+
+    keys = ["lane-1", "", "\u00fc", None]
+    got = [r["p"] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(hash_partition(F.col("k"), 256).alias("p")).collect()]
+    assert got == [None if k is None else zlib.crc32(k.encode()) % 256 for k in keys]

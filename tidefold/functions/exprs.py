@@ -45,7 +45,7 @@ def missing(required: Column, have: Column) -> Column:
 
 def csv_tokens(text: Column) -> Column:
     """Tokens of a comma list: trimmed, sorted, without empty ones or repeats."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")))
 
 
 def clamp_priority(priority: Column) -> Column:

@@ -133,6 +133,22 @@ def would_cycle(edge: DataFrame, candidates: DataFrame, depth: int = MAX_VISITED
     return rows.where(F.coalesce("hit", F.lit(False)) | (F.col("visited") >= MAX_VISITED)).select("edge_id", "upstream_eid", "downstream_eid")
 
 
+def staged(edge: DataFrame, candidates: DataFrame, executions: DataFrame) -> DataFrame:
+    """What staging each candidate edge answers: ok, or the first check that it fails."""
+    members = executions.select(F.col("execution_id").alias("downstream_eid"), F.lit(True).alias("member"))
+    there = edge.select("upstream_eid", "downstream_eid", F.lit(True).alias("there")).distinct()
+    cycles = would_cycle(edge, candidates).select("edge_id", F.lit(True).alias("cycle"))
+    rows = candidates.join(members, "downstream_eid", "left").join(there, ["upstream_eid", "downstream_eid"], "left").join(cycles, "edge_id", "left")
+    status = (
+        F.when(F.col("upstream_eid") == F.col("downstream_eid"), "self_referencing_edge")
+        .when(F.col("member").isNull(), "execution_not_in_flow")
+        .when(F.col("there"), "dependency_already_exists")
+        .when(F.col("cycle"), "cycle_detected")
+        .otherwise("ok")
+    )
+    return rows.select("edge_id", "upstream_eid", "downstream_eid", status.alias("status"))
+
+
 def cancel_members(executions: DataFrame, flows: DataFrame) -> DataFrame:
     """Commands of a flow's cancellation: cancel_all reaches every live member, cancel_pending only
     those not yet active, flow_only none."""
