@@ -1,6 +1,8 @@
 """Streams: state lasts over micro-batches and restarts, and gives what the batch fold gives."""
 
-from tidefold.operators import folds
+from tidefold.operators import execution, folds
+from tidefold.plans.folds import command_log
+from tidefold.sources.model import Model
 from tidefold.streaming import outbox
 
 LOG = "budget_id long, seq long, now_ms long, delta long, dedup_key string, hard_limit long, soft_limit long"
@@ -30,3 +32,14 @@ def test_tail_hides_best_effort(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, "durable"), (3, "best_effort")], "ts_ms long, mode string").coalesce(1).write.parquet(log)
     outbox.drain(outbox.tail(outbox.read_log(spark, log), 0), f"{tmp_path}/out")
     assert sorted(r["ts_ms"] for r in spark.read.parquet(f"{tmp_path}/out/rows").collect()) == [1, 2]
+
+
+def test_execution_stream_equals_batch(spark, tmp_path):
+    log = f"{tmp_path}/log.parquet"
+    commands = command_log(Model(spark, "/root/testdata/sf0.001")).where("execution_id < 200")
+    commands.coalesce(1).write.parquet(log)
+    stream = outbox.fold_stream(outbox.read_log(spark, log), "execution_id", ["seq"], execution.step, execution.RESULT)
+    outbox.drain(stream, f"{tmp_path}/out")
+    got = sorted(map(str, spark.read.parquet(f"{tmp_path}/out/rows").collect()))
+    want = folds.fold(commands, "execution_id", ["seq"], execution.step, execution.RESULT)
+    assert got == sorted(map(str, want.collect())) and got

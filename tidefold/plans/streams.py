@@ -10,6 +10,7 @@ from tidefold.operators import folds
 from tidefold.operators.store import shared_dir
 from tidefold.plans.folds import BUDGET_SQL, QUOTA_MS, QUOTA_RATE, QUOTA_SQL
 from tidefold.plans.registry import query
+from tidefold.sources.model import FILES, Model
 from tidefold.streaming import outbox
 
 
@@ -17,6 +18,13 @@ def events(m):
     return outbox.read_log(m.spark, f"{m.sf_dir}/events.parquet").select("user_id", "event_type", F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"), F.floor(F.col("value") * 100).cast("long").alias("delta"), F.concat_ws(":", F.col("user_id").cast("string"), "props").alias("dedup_key"))
 
 
+class StreamModel(Model):
+    """The model's tables over streams of the same files (those that are plain projections)."""
+
+    def __getattr__(self, name):
+        return outbox.read_log(self.spark, f"{self.sf_dir}/{name}.parquet") if name in FILES else super().__getattr__(name)
+
+
 def drained(m, stream, mode="append"):
     folder = f"{shared_dir(m.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     outbox.drain(stream, folder, mode)
@@ -45,3 +53,16 @@ def stream_outbox_tail(m):
 @query("stream_outbox_counts", "WITH w AS (SELECT CAST(floor(now_ms / 3600000) AS BIGINT) * 3600000 AS from_ms, dim AS event_type, count(*) AS n, (SELECT max(now_ms) FROM usage) AS newest FROM usage GROUP BY 1, 2) SELECT from_ms, event_type, n FROM w WHERE from_ms + 3600000 <= newest - 3600000")
 def stream_outbox_counts(m):
     return drained(m, outbox.counts(events(m), ["event_type"], "1 hour"))
+
+
+@query("stream_completions", "SELECT event_id, execution_id, outcome, committed_at_ms FROM completion WHERE event_id > 100 AND namespace = 'ns-1'")
+def stream_completions(m):
+    events = StreamModel(m.spark, m.sf_dir).completion
+    return drained(m, outbox.subscribe(events, 100, "ns-1").select("event_id", "execution_id", "outcome", "committed_at_ms"))
+
+
+@query("stream_completion_edges", "SELECT c.event_id, e.edge_id, e.downstream_eid, c.outcome FROM completion c JOIN edge e ON c.execution_id = e.upstream_eid")
+def stream_completion_edges(m):
+    """Completions as they come, each with the outgoing edges of a table: what a resolver works on."""
+    events = StreamModel(m.spark, m.sf_dir).completion.select("event_id", F.col("execution_id").alias("upstream_eid"), "outcome")
+    return drained(m, events.join(m.edge, "upstream_eid").select("event_id", "edge_id", "downstream_eid", "outcome"))

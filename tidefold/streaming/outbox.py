@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidefold.functions.exprs import filter_matches
 from tidefold.operators.folds import Step
 
 
@@ -33,7 +34,8 @@ def fold_stream(log: DataFrame, key: str, order: list[str], step: Step, schema:
     def run(_key, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         state = pickle.loads(kept.get[0]) if kept.exists else None
         out = []
-        for command in pd.concat(frames).sort_values(order).to_dict("records"):
+        log = pd.concat(frames).sort_values(order)
+        for command in log.astype(object).where(log.notna(), None).to_dict("records"):
             state, rows = step(state, command)
             out += rows
         kept.update((pickle.dumps(state),))
@@ -47,6 +49,11 @@ def tail(frames: DataFrame, after_ms: int) -> DataFrame:
     return frames.where((F.col("ts_ms") > after_ms) & (F.coalesce("mode", F.lit("durable")) != "best_effort"))
 
 
+def subscribe(events: DataFrame, after_id: int, namespace: str | None = None) -> DataFrame:
+    """Outbox events after a cursor that pass a scanner's filter (a missing namespace passes none)."""
+    return events.where((F.col("event_id") > after_id) & filter_matches(F.col("namespace"), F.lit(None), namespace))
+
+
 def at_time(log: DataFrame, ms: str = "now_ms") -> DataFrame:
     """``log`` with event time ``at``."""
     return log.withColumn("at", F.timestamp_millis(F.col(ms)))
