@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from conftest import CLASHES, NASTY  # noqa: F401
+from samples import NASTY
 
 from tidefold.llm import chat, minhash, mixing, packing, quality, secrets, substring, tokencount, topk, toxicity
 from tidefold.llm.queries import byte_bpe, tokenizer

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import documents, prose
+from samples import documents, prose
 
 from tidefold.llm import minhash
 from tidefold.llm.graph import components

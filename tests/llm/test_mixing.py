@@ -1,6 +1,6 @@
 import re
 
-from conftest import documents, prose
+from samples import documents, prose
 
 from tidefold.llm import mixing
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from conftest import documents, prose
+from samples import documents, prose
 
 from tidefold.llm import secrets
 from tidefold.llm.queries import op5_secret_scans

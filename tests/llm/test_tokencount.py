@@ -1,5 +1,5 @@
 import pytest
-from conftest import NASTY, prose
+from samples import NASTY, prose
 
 from tidefold.llm import tokencount
 from tidefold.llm.queries import tokenizer
