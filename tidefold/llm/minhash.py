@@ -38,9 +38,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import cut, doc_text, per_worker, stored
 from tidefold.llm.graph import components
-from tidefold.llm.words import M1, M2, Words, by_size, grams, mixed
-
-GROUP_CHARS = 1 << 20
+from tidefold.llm.words import M1, M2, Words, grams, mixed, slices, text_bytes
 
 
 def shingle_sets(texts: list[bytes], words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +93,8 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int, slots: int) -> Data
     def run(batches):
         words = per_worker(("words", True), lambda: Words(lower=True))
         for batch in batches:
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id").cast(pa.int64())
-            for start, stop in by_size(texts, GROUP_CHARS):
-                elements, sizes = shingle_sets(texts[start:stop], words, n)
+            for part in slices(batch):
+                elements, sizes = shingle_sets(text_bytes(part), words, n)
                 full = np.flatnonzero(sizes)
                 firsts = (np.cumsum(sizes) - sizes)[full]
                 keys = []
@@ -113,7 +109,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int, slots: int) -> Data
                 for k in range(rows):
                     band = mixed(band * M1 + used[:, :, k])
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32), pa.array(band[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(sizes), *keys, lists], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes), *keys, lists], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
@@ -124,12 +120,10 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         words = per_worker(("words", True), lambda: Words(lower=True))
         for batch in batches:
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id").cast(pa.int64())
-            for start, stop in by_size(texts, GROUP_CHARS):
-                elements, sizes = shingle_sets(texts[start:stop], words, n)
+            for part in slices(batch):
+                elements, sizes = shingle_sets(text_bytes(part), words, n)
                 blobs = [x.tobytes() for x in np.split(elements, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, shingles binary")
 

@@ -8,8 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
+from tidefold.llm.common import per_worker
+
 #: Odd multipliers of a 64-bit mixer (fixed values).
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S = np.uint64(33)
@@ -18,7 +22,7 @@ S = np.uint64(33)
 class _Hashes(dict):
     """Word to hash; forgets all when it holds ``most`` words, so memory stays bounded."""
 
-    most = 500_000
+    most = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -46,12 +50,28 @@ def by_size(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def slices(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about ``size`` bytes of text (or one row), so that only a part at a
+    time is turned into Python objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def text_bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
 class Words:
-    """Hashes of the words of texts, with a cache that lives as long as the object."""
+    """Hashes of the words of texts; one bounded cache serves all operators of a worker."""
 
     def __init__(self, lower: bool = False):
         self.lower = lower
-        self.cache = _Hashes()
+        self.cache = per_worker(("hashes",), _Hashes)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words in order, number of words of each text)."""
