@@ -30,12 +30,13 @@ def _union_find(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, salts: int = 32) -> DataFrame:
     """(node, root) of every linked node but the roots; root is the least node of the component.
 
     Union-find contracts what a task holds, an Arrow batch at a time.  Between tasks, each round
     gives a node the least of its roots, links its other roots to that one, and follows roots of
-    roots, until nothing changes.  Star-shaped groups settle in two or three rounds.
+    roots, until nothing changes.  Star-shaped groups settle in two or three rounds.  A root that
+    most nodes share is looked up under ``salts`` keys, so its nodes spread over as many tasks.
     """
     stars = cut(links.toDF("a", "b").mapInArrow(_union_find, "node long, root long").distinct())
     while True:
@@ -43,8 +44,10 @@ def components(links: DataFrame) -> DataFrame:
         joined = stars.join(least, "node")
         others = joined.where("root != least").select(F.col("root").alias("node"), F.col("least").alias("root"), F.lit(1).alias("moved"))
         own = least.select("node", F.col("least").alias("root"), F.lit(0).alias("moved"))
-        up = least.select(F.col("node").alias("root"), F.col("least").alias("up"))
-        new = own.unionByName(others).join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.when(F.col("up").isNotNull(), 1).otherwise(F.col("moved")).alias("moved"))
+        roots = stars.select(F.col("root").alias("node")).distinct()  # of these, few have roots themselves
+        up = least.join(roots, "node", "left_semi").select(F.col("node").alias("root"), F.col("least").alias("up"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        new = own.unionByName(others).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(up, ["root", "salt"], "left")
+        new = new.select("node", F.coalesce("up", "root").alias("root"), F.when(F.col("up").isNotNull(), 1).otherwise(F.col("moved")).alias("moved"))
         new = cut(new.where("node != root").groupBy("node", "root").agg(F.max("moved").alias("moved")))
         stars = new.select("node", "root")
         if new.where("moved = 1").isEmpty():
