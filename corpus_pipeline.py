@@ -4,8 +4,8 @@ Each stage is (name, function of (spark, docs, sf_dir)) and gets what the one be
 all columns of documents (and any others).  Decisions take effect:
 
 1. quality: documents that the rules reject go.
-2. near_dedup: one document of each group of near-copies stays (that of the smallest doc_id).  Of
-   rows that repeat a doc_id and text one stays; rows without a doc_id can't be named, and stay.
+2. near_dedup: one document of each group of near-copies stays (that of the smallest doc_id).
+   Near copies are op3's: 85 % of their shingles of three words are shared.  Of rows that repeat a doc_id and text one stays; rows without a doc_id can't be named, and stay.
 3. secrets: every span found is masked in the text, and n_chars follows.
 4. mixing: a document stays as often as the mix takes it, as a whole row each time; where the mix
    takes part of a document, the nearer whole number counts.
