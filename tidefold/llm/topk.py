@@ -8,7 +8,9 @@ their k-th score.  Before that every query is scored in its *home* shard, and th
 there travels with the query to all other shards as its first threshold.
 
 A shard holds ``shard_rows`` vectors at most by construction of the deal (a pure hash of vec_id
-modulo the number of shards), and queries arrive in Arrow batches, so a task's memory is bounded.
+modulo the number of shards).  A group of a task is a shard and the queries at home there, or a
+shard and a block of about ``query_rows`` queries (the shard's vectors are sent once for each
+block), so a task's memory doesn't grow with the table.
 Vectors that are null or hold null or non-finite components take no part; vectors of different
 lengths are never compared.  Rows that repeat a vec_id are candidates each (but never for a query
 of the same vec_id); as a query, the smallest of their vectors is taken.
@@ -115,19 +117,27 @@ def usable(table: DataFrame) -> DataFrame:
     return table.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def top_k(table: DataFrame, every: int = 50, k: int = 5, shard_rows: int = 2048, leaf_rows: int = 128, block_rows: int = 512) -> DataFrame:
+def dealt(table: DataFrame, every: int, shard_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their shard, and queries with their home shard and block; both with the numbers of shards and blocks."""
+    rows = usable(table).withColumn("dim", F.size("v"))
+    query = F.pmod("vec_id", F.lit(every)) == 0
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.greatest(F.ceil(F.count_if(query) / query_rows), F.lit(1)).cast("int").alias("blocks"))
+    home = F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")
+    candidates = rows.join(sizes, "dim").withColumn("shard", home)
+    queries = rows.where(query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).join(sizes, "dim")
+    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int")
+    return candidates, queries.select(F.col("vec_id").alias("query_id"), "v", "dim", "shards", "blocks", home.alias("shard"), block.alias("block"))
+
+
+def top_k(table: DataFrame, every: int = 50, k: int = 5, shard_rows: int = 2048, leaf_rows: int = 128, block_rows: int = 512, query_rows: int = 2048) -> DataFrame:
     """The k highest integer inner products of each query row (vec_id divisible by ``every``).
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
     """
-    rows = usable(table).withColumn("dim", F.size("v"))
-    shards = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
-    home = F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")
-    candidates = rows.join(shards, "dim").withColumn("shard", home)
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).join(shards, "dim")
+    candidates, asks = dealt(table, every, shard_rows, query_rows)
 
     def at(frames: DataFrame, asks: DataFrame) -> DataFrame:
-        """Each query of ``asks`` against the shard that it names."""
+        """Each query of ``asks`` against the shard that it names, block by block."""
 
         def one(key, data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -144,13 +154,13 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, shard_rows: int = 2048,
                     out.append(pd.DataFrame({"query_id": own[r], "vec_id": i[r, c], "score": s[r, c]}))
             return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
-        return frames.groupBy("dim", "shard").cogroup(asks.groupBy("dim", "shard")).applyInPandas(one, FOUND)
+        return frames.groupBy("dim", "shard", "block").cogroup(asks.groupBy("dim", "shard", "block")).applyInPandas(one, FOUND)
 
-    asks = queries.select(F.col("vec_id").alias("query_id"), "v", "dim", "shards", home.alias("shard"))
-    first = at(candidates.select("dim", "shard", "vec_id", "v"), asks.select("dim", "shard", "query_id", "v", F.lit(NONE).alias("kth")))
+    first = at(candidates.select("dim", "shard", F.lit(0).alias("block"), "vec_id", "v"), asks.select("dim", "shard", F.lit(0).alias("block"), "query_id", "v", F.lit(NONE).alias("kth")))
     kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(NONE)).alias("kth"))
     others = asks.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(NONE)))
     others = others.withColumn("home", F.col("shard")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("shard != home")
-    rest = at(candidates.select("dim", "shard", "vec_id", "v"), others.select("dim", "shard", "query_id", "v", "kth"))
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    rest = at(candidates.where("shards > 1").select("dim", "shard", every_block, "vec_id", "v"), others.select("dim", "shard", "block", "query_id", "v", "kth"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return first.unionByName(rest).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
