@@ -96,19 +96,38 @@ def skip_cascade(edge: DataFrame, policy: DataFrame, outcome: DataFrame, depth:
     return skipped
 
 
-def levels(edge: DataFrame, depth: int = MAX_CASCADE) -> DataFrame:
-    """Longest distance of each node from a root, nodes beyond ``depth`` levels left out."""
+def levels(edge: DataFrame) -> DataFrame:
+    """Longest distance of each node from a root, by Kahn's algorithm: a round settles the nodes all
+    of whose upstreams are settled, and writes only these.  Nodes on a cycle that a root reaches, or
+    beyond it, have no longest distance and are left out; what no root reaches counts for nothing."""
     from tidefold.operators.store import cut
 
-    nodes = edge.select(F.explode(F.array("upstream_eid", "downstream_eid")).alias("execution_id")).distinct()
-    at = cut(nodes.join(edge.select(F.col("downstream_eid").alias("execution_id")).distinct(), "execution_id", "left_anti").withColumn("level", F.lit(0)))
-    done = at
-    for level in range(1, depth + 1):
-        at = cut(at.select(F.col("execution_id").alias("upstream_eid")).join(edge, "upstream_eid").select(F.col("downstream_eid").alias("execution_id")).distinct().withColumn("level", F.lit(level)))
-        if at.isEmpty():
-            break
-        done = done.unionByName(at)
-    return done.groupBy("execution_id").agg(F.max("level").alias("level"))
+    steps = edge.select("upstream_eid", "downstream_eid").where("upstream_eid IS NOT NULL AND downstream_eid IS NOT NULL")
+    roots = cut(steps.select("upstream_eid").distinct().join(steps.select(F.col("downstream_eid").alias("upstream_eid")).distinct(), "upstream_eid", "left_anti"))
+
+    def rounds(ready):
+        at = cut(roots.select(F.col("upstream_eid").alias("execution_id"), F.lit(0).alias("level")))
+        done, level = at, 0
+        while not at.isEmpty():
+            level += 1
+            below = at.select(F.col("execution_id").alias("upstream_eid")).join(steps, "upstream_eid").select("downstream_eid").distinct()
+            at = cut(ready(below, done).select(F.col("downstream_eid").alias("execution_id"), F.lit(level).alias("level")))
+            done = done.unionByName(at)
+            if level % 8 == 0:
+                done = cut(done)
+        return done
+
+    def settled(below, done):
+        open_ = steps.join(below, "downstream_eid", "left_semi").join(done.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_anti")
+        return below.join(open_, "downstream_eid", "left_anti")
+
+    done = cut(rounds(settled))
+    if steps.join(done.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_anti").isEmpty():
+        return done
+    # a cycle: edges from nodes that no root reaches hold nothing back
+    reached = rounds(lambda below, done: below.join(done.select(F.col("execution_id").alias("downstream_eid")), "downstream_eid", "left_anti"))
+    steps = cut(steps.join(reached.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi"))
+    return rounds(settled)
 
 
 def would_cycle(edge: DataFrame, candidates: DataFrame, depth: int = MAX_VISITED) -> DataFrame:
