@@ -46,3 +46,66 @@ def test_held_out_documents_are_told_apart(spark):
     accuracy = np.mean([(r["score"] >= 0.5) == bool(r["toxic"]) for r in rows])
     # six held-out toxic rows here; two of them have no word that marks toxic rows of the other folds
     assert auc >= 0.8 and accuracy >= 0.95, (auc, accuracy)
+
+
+def test_scores_against_brute_force(spark):
+    """Document frequencies, passages, cosines, votes, leave-one-out curve and choice of k, from scratch."""
+    import math
+    import random
+    import zlib
+
+    from samples import documents, prose
+
+    rng = random.Random(3)
+    texts = {i: " ".join(w + ("" if rng.random() < 0.9 or i % 4 else " vile" + rng.choice("xyz")) for w in prose(i, 40 + 7 * (i % 30)).split()) for i in range(160)}
+    texts |= {160: "", 161: None, 162: "12 34", 163: texts[8]}
+    toxic = {i: int(i % 4 == 0) for i in range(164) if i % 8 < 6}
+    ks, passage, most = (3, 9), 32, 4
+    docs = documents(spark, [(i, t, "en", "web") for i, t in texts.items()])
+    labels = spark.createDataFrame([(i, t) for i, t in toxic.items()], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels, ks=ks, passage=passage, most_passages=most).collect()}
+
+    train = {i: y for i, y in toxic.items() if zlib.crc32(str(i).encode()) % 5}
+    first = {}
+    for i in sorted(train):
+        first.setdefault((texts[i] or "", train[i]), i)
+    n_docs, df = len(texts), Counter(t for x in texts.values() for t in set(toxicity.terms_of(x or "")))
+    cut = []
+    for (text, y), i in first.items():
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        n = max(1, round(len(words) / passage))
+        for j in [k * n // min(n, most) for k in range(min(n, most))]:
+            cut.append((i, y, Counter(toxicity.terms_of(" ".join(words[j * len(words) // n : (j + 1) * len(words) // n])))))
+    known = {t for *_, c in cut for t in c}
+
+    def unit(c):
+        w = {t: (1 + math.log(m)) * math.log((n_docs + 1) / (df[t] + 1)) for t, m in c.items() if t in known}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()} if norm else {}
+
+    vectors = [(i, y, unit(c)) for i, y, c in cut]
+    vectors = [v for v in vectors if v[2]]
+    counts = [sum(1 - y for y in train.values()), sum(train.values())]
+    prior = [(c + 1) / (sum(counts) + 2) for c in counts]
+    scale = [prior[y] / (sum(v[1] == y for v in vectors) / len(vectors)) for y in (0, 1)]
+
+    def share(text, k, but=None):
+        q = unit(Counter(toxicity.terms_of(text)))
+        cosines = sorted(((sum(x * v[2].get(t, 0) for t, x in q.items()), v[1]) for v in vectors if v[0] != but), reverse=True)[:k]
+        votes = [sum(c for c, label in cosines if label == y) * scale[y] for y in (0, 1)]
+        return votes[1] / sum(votes) if sum(votes) else prior[1]
+
+    held = np.array([y for _, y in first])
+    weights = (np.array(prior) / np.bincount(held) * len(held))[held]
+    curves = [toxicity.curve(np.array([share(t, k, i) for (t, _), i in first.items()]), held, weights) for k in ks]
+    k, (slope, level, _) = min(zip(ks, curves, strict=True), key=lambda x: x[1][2])
+    for i, text in texts.items():
+        has = bool(unit(Counter(toxicity.terms_of(text or ""))))
+        want = 1 / (1 + math.exp(-slope * toxicity.log_odds(share(text, k)) - level)) if has else prior[1]
+        assert abs(got[i] - want) < 1e-3, (i, got[i], want)
+
+
+def test_null_doc_id_is_never_held_out(spark):
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in spark.sql("SELECT CAST(NULL AS LONG) AS doc_id").select(toxicity.held_out(F.col("doc_id"))).collect()] == [False]

@@ -1,21 +1,26 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled passages: exact TF-IDF cosine over a block-max inverted index.
 
 * Examples: at most ``per_class`` labelled rows of each label (those with the smallest hashes of
-  doc_id), none from the held-out fold.  This bound on what is fitted is a parameter; every other
-  count (document frequencies, label rates) covers all rows.
-* Terms: lower-cased runs of letters, and the first 4 and 5 letters of longer ones.  The vocabulary holds the terms, ``terms`` at most, whose
-  chi-squared of presence against the examples' label reaches ``least_chi2``.
+  doc_id), none from the held-out fold; a text that several of them share counts once.  An example
+  is cut into passages of about ``passage`` words, of which it gives ``most_passages`` at most,
+  evenly spread.  These bounds on what is fitted are parameters; every other count (document
+  frequencies, label rates) covers all rows, and every text that is scored is read whole.
+* Terms: lower-cased runs of letters, and the first 4 and 5 letters of longer ones.  All terms of
+  the passages are indexed, none is chosen by its label.  Terms that no example has can't add to any
+  cosine; they are left out of a query's length too, which scales all its cosines alike.
 * Weights: (1 + ln tf) * ln((N + 1) / (df + 1)), N and df over the whole corpus; unit length.
-* Index: examples, ordered by their heaviest term, in blocks; for each term and block the largest
-  weight.  A query sums these into a bound per block, scores blocks from the highest bound on, in
-  growing waves, and stops when no bound reaches its k-th best cosine.  That is exact.
-* Votes: a neighbour votes with its cosine, each label rescaled from its share of the examples to
-  its share of all labelled training rows, with ``smooth`` votes at the latter shares added.  So
-  scores estimate the chance of label 1.  A text without any term of the vocabulary, an empty or
-  null one too, gets that estimate from the examples that have none either.
-
-Each input row gives one row; labels, lang, source and doc_id are never inputs of a score.
-Without labelled training rows all scores are 0.
+* Index: passages, ordered by their heaviest common term (so a language's lie together), in blocks.
+  Lists of rare terms are added up as they are.  For terms that many passages share, each block has
+  the largest weight, which bounds what they can add; blocks are then worked off from the highest
+  bound on, in growing waves, until no bound reaches the k-th best cosine.  That is exact.
+* Votes: a neighbour votes with its cosine, each label rescaled from its share of the passages to
+  its share of all labelled training rows.  A logistic curve turns the share of the votes for label 1
+  into a chance.  The curve, and k out of ``ks``, are those of least log loss over the examples, each
+  voted on by all passages but its own (leave one out, so within the training folds).
+* A text without any term of the index, an empty or null one too, gets the label's share.
+
+Each input row gives one row; labels, lang, source and doc_id are never inputs of a score.  A null
+doc_id is in no held-out fold and is never an example.  Without labelled training rows all scores are 0.
 """
 
 from __future__ import annotations
@@ -23,126 +28,208 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import cut, doc_text, per_worker
+from tidefold.llm.words import slices
 
 LETTERS = r"[^\W\d_]+"
 #: A word also counts as its stems of so many letters, so that endings don't hide it.
 STEMS = (4, 5)
 SCORED = "doc_id long, score double, predicted int, nearest array<long>"
+#: Terms in more than this share of all passages have a column of weights rather than a list.
+COMMON = 1 / 16
+#: Keeps log odds of votes finite.
+EDGE = 1e-3
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+def forms(word: str) -> list[str]:
+    return [word, *(word[:n] + "-" for n in STEMS if len(word) > n)]
+
+
+def letters(text: str) -> list[str]:
+    return per_worker(("letters",), lambda: re.compile(LETTERS)).findall(text.lower())
 
 
 def terms_of(text: str) -> list[str]:
-    words = per_worker(("letters",), lambda: re.compile(LETTERS)).findall(text.lower())
-    return [*words, *(w[:n] + "-" for n in STEMS for w in words if len(w) > n)]
+    return [t for w in letters(text) for t in forms(w)]
+
+
+class Places(dict):
+    """What stands between blanks, to the places in the vocabulary of all forms of its runs of
+    letters; forgets all when it holds ``most`` entries."""
+
+    most = 1 << 17
+
+    def __init__(self, known: dict[str, int]):
+        self.known = known
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        places = self[token] = tuple(p for t in terms_of(token) if (p := self.known.get(t)) is not None)
+        return places
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places, rising, and how often each occurs."""
+        found = np.fromiter(chain.from_iterable(map(self.__getitem__, text.lower().split())), np.int64)
+        return np.unique(found, return_counts=True)
 
 
 @dataclass
 class Index:
-    """Unit vectors of examples as postings by term, and per term and block the largest weight."""
+    """Unit vectors of passages: lists of rare terms, columns of common ones with block maxima."""
 
     idf: np.ndarray
     starts: np.ndarray  # postings of term t: starts[t] to starts[t + 1]
     rows: np.ndarray
     weights: np.ndarray
-    tops: np.ndarray  # term x block
-    block: int
+    column: np.ndarray  # of a common term in dense, or -1
+    dense: np.ndarray  # block x row of the block x common term
+    tops: np.ndarray  # common term x block: the largest weight
     ids: np.ndarray
     labels: np.ndarray
     scale: np.ndarray  # votes of label 0 and 1 are rescaled by
     prior: np.ndarray  # shares of the labels
-    blank: float  # score of a text without terms
 
-    def nearest(self, terms: np.ndarray, tf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples (ties: earlier row), cosine above 0 only."""
+    def nearest(self, terms: np.ndarray, tf: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest passages (ties: earlier row), cosine above 0 only; none of document ``but``."""
         q = (1 + np.log(tf)) * self.idf[terms]
         norm = np.sqrt(q @ q)
         if not norm:
             return np.zeros(0, np.int64), np.zeros(0)
         q = q / norm
-        bound = q @ self.tops[terms]
+        blocks, block, width = self.dense.shape
+        column = self.column[terms]
+        rare = column < 0
+        lengths = self.starts[terms[rare] + 1] - self.starts[terms[rare]]
+        at = np.repeat(self.starts[terms[rare]] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        part = np.bincount(self.rows[at], weights=self.weights[at] * np.repeat(q[rare], lengths), minlength=blocks * block).astype(float)
+        if but is not None:
+            part[np.flatnonzero(self.ids == but)] = -np.inf
+        common = np.zeros(width, self.dense.dtype)
+        common[column[~rare]] = q[~rare]
+        part = part.reshape(blocks, block)
+        bound = part.max(axis=1) + common @ self.tops
         order = np.argsort(-bound, kind="stable")
-        bound = bound[order]
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        rows = np.concatenate([self.rows[s] for s in spans])
-        parts = np.concatenate([self.weights[s] * w for s, w in zip(spans, q, strict=True)])
-        of = rows // self.block
-        scores = np.zeros(len(self.ids))
-        kth, done, wave = 0.0, 0, 8
-        while done < len(order) and bound[done] > 0 and bound[done] >= kth - 1e-9:
-            pick = np.zeros(len(order), bool)
-            pick[order[done : done + wave]] = True
-            some = pick[of]
-            scores += np.bincount(rows[some], weights=parts[some], minlength=len(scores))
-            done, wave = done + wave, 2 * wave
-            if len(scores) > k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-        best = np.argsort(-scores, kind="stable")[:k]
-        best = best[scores[best] > 0]
+        scores = np.full((blocks, block), -np.inf)
+        kth, done, wave = 0.0, 0, max(8, -(-2 * k // block))
+        while len(some := order[done : done + wave]) and bound[some[0]] > 0 and bound[some[0]] >= kth - 1e-6:
+            some = some[bound[some] >= kth - 1e-6]
+            scores[some] = part[some] + (self.dense[some] @ common if 2 * len(some) < blocks else (self.dense.reshape(-1, width) @ common).reshape(blocks, block)[some])
+            done, wave = done + wave, blocks
+            seen = scores[order[:done]]
+            if seen.size > k:
+                kth = max(kth, float(np.partition(seen, seen.size - k, axis=None)[seen.size - k]))
+        scores = scores.ravel()[: len(self.ids)]
+        best = np.flatnonzero(scores >= kth) if kth > 0 else np.flatnonzero(scores > 0)
+        best = best[np.argsort(-scores[best], kind="stable")[:k]]
         return best, scores[best]
 
+    def share(self, rows: np.ndarray, cosines: np.ndarray) -> float:
+        """Share of the votes for label 1."""
+        votes = np.bincount(self.labels[rows], weights=cosines, minlength=2) * self.scale
+        return float(votes[1] / votes.sum()) if votes.sum() else float(self.prior[1])
+
 
 def build(vectors: list[tuple[int, int, list[int], list[float]]], idf: np.ndarray, shares: tuple[int, int], block: int, smooth: float) -> Index:
-    """``vectors``: (doc_id, label, places in the vocabulary, 1 + ln tf) of all examples."""
-    prior = (np.array(shares) + 1) / (sum(shares) + 2)
-    of = np.bincount([v[1] for v in vectors], minlength=2)
-    scale = prior / np.maximum(of / max(1, len(vectors)), 1e-9) * (of > 0)
-    rows = []
-    blank = smooth * prior
-    for doc_id, label, places, tf in vectors:
-        w = np.array(tf) * idf[np.array(places, dtype=np.int64)]
-        norm = np.sqrt(w @ w)
-        if norm:
-            rows.append((int(places[int(w.argmax())]), doc_id, label, np.array(places), w / norm))
-        else:
-            blank[label] += scale[label]
-    rows.sort(key=lambda r: r[:2])
-    terms = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
-    at = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
-    weights = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0)
+    """``vectors``: (doc_id, label, places in the vocabulary, 1 + ln tf) of all passages."""
+    prior = (np.array(shares) + smooth) / (sum(shares) + 2 * smooth)
+    places = [np.asarray(v[2], dtype=np.int64) for v in vectors]
+    weights = [np.asarray(v[3], dtype=float) * idf[p] for v, p in zip(vectors, places, strict=True)]
+    norms = [np.sqrt(w @ w) for w in weights]
+    kept = [i for i, n in enumerate(norms) if n]
+    lists = np.bincount(np.concatenate([places[i] for i in kept]) if kept else np.zeros(0, np.int64), minlength=len(idf))
+    often = np.flatnonzero(lists > COMMON * len(kept))
+    column = np.full(len(idf), -1)
+    column[often] = np.arange(len(often))
+
+    def lead(i: int) -> int:
+        seen = column[places[i]] >= 0
+        return int(places[i][seen][weights[i][seen].argmax()]) if seen.any() else len(idf)
+
+    kept.sort(key=lambda i: (lead(i), vectors[i][0], i))
+    n = len(kept)
+    dense = np.zeros((max(1, -(-n // block)), block, len(often)), np.float32)
+    terms, at, values = (np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in ((np.int64, [places[i] for i in kept]), (np.int32, [np.full(len(places[i]), r, np.int32) for r, i in enumerate(kept)]), (np.float32, [(weights[i] / norms[i]).astype(np.float32) for i in kept])))
+    common = column[terms] >= 0
+    dense[at[common] // block, at[common] % block, column[terms[common]]] = values[common]
+    terms, at, values = terms[~common], at[~common], values[~common]
     order = np.argsort(terms, kind="stable")
-    terms, at, weights = terms[order], at[order], weights[order]
-    tops = np.zeros((len(idf), -(-len(rows) // block)))
-    np.maximum.at(tops, (terms, at // block), weights)
-    starts = np.searchsorted(terms, np.arange(len(idf) + 1))
-    return Index(idf, starts, at, weights, tops, block, np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64), scale, prior, float(blank[1] / blank.sum()))
+    labels = np.array([vectors[i][1] for i in kept], dtype=np.int64)
+    of = np.bincount(labels, minlength=2)
+    scale = prior / np.maximum(of / max(1, n), 1e-9) * (of > 0)
+    starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+    return Index(idf, starts, at[order], values[order], column, dense, dense.max(axis=1).T.copy(), np.array([vectors[i][0] for i in kept], dtype=np.int64), labels, scale, prior)
+
+
+@dataclass
+class Model:
+    """What scoring needs: vocabulary, index, number of neighbours, and the logistic curve."""
+
+    places: dict[str, int]
+    index: Index
+    k: int = 0
+    slope: float = 1.0
+    level: float = 0.0
+
+    def score(self, share: float) -> float:
+        return float(1 / (1 + np.exp(-self.slope * log_odds(share) - self.level)))
+
+
+def log_odds(share: np.ndarray | float) -> np.ndarray | float:
+    return np.log((share + EDGE) / (1 - share + EDGE))
+
+
+def curve(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float, float]:
+    """Slope, level and mean log loss of the logistic curve of ``labels`` over log odds of ``shares``."""
+    x = np.stack([log_odds(shares), np.ones(len(shares))], axis=1)
+    b = np.array([1.0, 0.0])
+    p = 1 / (1 + np.exp(-x @ b))
+    for _ in range(50):  # Newton's method on a convex loss, with a slight pull to (1, 0)
+        gradient = x.T @ (weights * (p - labels)) + 1e-3 * (b - (1, 0))
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), gradient)
+        b = b - np.clip(step, -2, 2)
+        p = 1 / (1 + np.exp(-x @ b))
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    loss = -(weights * np.where(labels == 1, np.log(p), np.log(1 - p))).sum() / weights.sum()
+    return float(max(b[0], 1e-3)), float(b[1]), float(loss)
 
 
 def examples(docs: DataFrame, truth: DataFrame, per_class: int) -> DataFrame:
-    """doc_id, label, terms, tf of the bounded sample of labelled rows."""
+    """doc_id, label and text of the bounded sample of labelled rows."""
     pick = [truth.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
+    # 2 * per_class rows at most
+    sample = doc_text(docs).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id")
+    return sample.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id"))
 
-    def run(batches):
-        for batch in batches:
-            counted = [Counter(terms_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))],
-                names=["doc_id", "label", "terms", "tf"],
-            )
 
-    # 2 * per_class rows at most
-    sample = doc_text(docs).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id").select("doc_id", "label", "text")
-    return sample.mapInArrow(run, "doc_id long, label int, terms array<string>, tf array<int>")
+def passages(sample: DataFrame, passage: int, most: int) -> pa.Table:
+    """label, doc_id, terms and tf of all passages; ``most`` for each row of ``sample`` at most."""
 
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for doc_id, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
+                words = letters(text)
+                n = max(1, round(len(words) / passage))
+                for j in [i * n // min(n, most) for i in range(min(n, most))]:
+                    counts = Counter(t for w in words[j * len(words) // n : (j + 1) * len(words) // n] for t in forms(w))
+                    for column, value in zip(out, (doc_id, label, list(counts), list(counts.values())), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], names=["doc_id", "label", "terms", "tf"])
 
-def vocabulary(sample: DataFrame, least_docs: int, least_chi2: float, terms: int) -> list[str]:
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"))
-    # totals is one row
-    seen = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("df1")).where(F.col("df") >= least_docs).join(F.broadcast(totals), how="cross")
-    a, b = F.col("df1").cast("double"), (F.col("df") - F.col("df1")).cast("double")
-    c, d = F.col("n1") - a, F.col("n") - F.col("n1") - b
-    chi2 = F.col("n") * F.pow(a * d - b * c, F.lit(2)) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1.0))
-    kept = seen.select("term", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(terms)
-    return [r["term"] for r in kept.collect()]  # ``terms`` rows at most
+    return sample.mapInArrow(run, "doc_id long, label int, terms array<string>, tf array<int>").toArrow()  # a bounded sample
 
 
 def document_frequencies(docs: DataFrame, places: dict[str, int]) -> tuple[int, np.ndarray]:
@@ -150,60 +237,84 @@ def document_frequencies(docs: DataFrame, places: dict[str, int]) -> tuple[int,
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches):
-        known = shared.value
-        df = np.zeros(len(known) + 1, np.int64)
+        known = Places(shared.value)
+        df = np.zeros(len(shared.value) + 1, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for term in known.keys() & set(terms_of(text)):
-                    df[known[term]] += 1
-                df[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(df)), pa.int32()), pa.array(df)], names=["term", "df"])
+            for part in slices(batch):
+                for text in part.column("text").to_pylist():
+                    df[known.counts(text)[0]] += 1
+                    df[-1] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some])], names=["term", "df"])
 
     out = np.zeros(len(places) + 1, np.int64)
-    for row in doc_text(docs).select("text").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row per term
-        out[row["term"]] = row["df"]
+    sums = doc_text(docs).select("text").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row per term
+    out[sums.column("term").to_numpy()] = sums.column("df").to_numpy()
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int, terms: int, least_docs: int, least_chi2: float, block: int, smooth: float) -> tuple[dict[str, int], Index | None]:
+def fit(docs: DataFrame, labels: DataFrame, ks: tuple[int, ...], per_class: int, passage: int, most_passages: int, block: int, smooth: float) -> Model | None:
     truth = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
-    sample = cut(examples(docs, truth, per_class).groupBy("terms", "tf", "label").agg(F.min("doc_id").alias("doc_id")))  # a copied example counts once
+    sample = cut(examples(docs, truth, per_class))
     shares = {r["label"]: r["n"] for r in truth.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    places = {t: i for i, t in enumerate(vocabulary(sample, least_docs, least_chi2, terms))}
+    cuts = passages(sample, passage, most_passages).sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    if not cuts.num_rows:
+        return None
+    lists = cuts.column("terms").combine_chunks()
+    coded = pc.dictionary_encode(lists.flatten())
+    places = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
     n, df = document_frequencies(docs, places)
-    table = sample.sparkSession.createDataFrame(list(places.items()), "term string, place int")
-    pairs = F.explode_outer(F.arrays_zip("terms", "tf")).alias("p")
-    kept = sample.select("doc_id", "label", pairs).select("doc_id", "label", F.col("p.terms").alias("term"), F.col("p.tf").alias("tf")).join(F.broadcast(table), "term", "left")
-    rows = kept.groupBy("doc_id", "label").agg(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", (1 + F.log("tf")).alias("w")))).alias("v")).collect()  # 2 * per_class rows at most
-    vectors = [(r["doc_id"], r["label"], [p["place"] for p in r["v"]], [p["w"] for p in r["v"]]) for r in rows]
-    idf = np.log((n + 1) / (df + 1))
-    return places, build(vectors, idf, (shares.get(0, 0), shares.get(1, 0)), block, smooth) if vectors else None
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())[:-1]
+    terms = np.split(coded.indices.to_numpy().astype(np.int64), ends)
+    tf = np.split(1 + np.log(cuts.column("tf").combine_chunks().flatten().to_numpy()), ends)
+    vectors = list(zip(cuts.column("doc_id").to_pylist(), cuts.column("label").to_pylist(), terms, tf, strict=True))
+    model = Model(places, build(vectors, np.log((n + 1) / (df + 1)), (shares.get(0, 0), shares.get(1, 0)), block, smooth), ks[0])
+    votes = left_out(sample, model, ks)
+    held = votes.column("label").to_numpy()
+    of = np.bincount(held, minlength=2)
+    if of.min() < 2:
+        return model
+    weights = (model.index.prior / of * len(held))[held]
+    by = [curve(x, held, weights) for x in np.stack(votes.column("shares").to_pylist()).T]
+    best = min(range(len(ks)), key=lambda i: by[i][2])
+    model.k, model.slope, model.level = ks[best], *by[best][:2]
+    return model
+
+
+def left_out(sample: DataFrame, model: Model, ks: tuple[int, ...]) -> pa.Table:
+    """label and, for each k, the share of the votes of each example by all passages but its own."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        known = Places(m.places)
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows, cosines = m.index.nearest(*known.counts(text), max(ks), doc_id)
+                out.append([m.index.share(rows[:k], cosines[:k]) for k in ks])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "label", "shares"])
+
+    return sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, shares array<double>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])  # 2 * per_class rows at most
 
 
-def score(docs: DataFrame, labels: DataFrame, k: int = 31, evidence: int = 5, per_class: int = 2000, terms: int = 4096, least_docs: int = 5, least_chi2: float = 36.0, block: int = 64, smooth: float = 0.5) -> DataFrame:
-    """doc_id, score, predicted, nearest (doc_ids of the nearest examples, the evidence)."""
-    places, index = fit(docs, labels, per_class, terms, least_docs, least_chi2, block, smooth)
-    shared = docs.sparkSession.sparkContext.broadcast((places, vars(index) if index else None))  # bounded by per_class and terms
+def score(docs: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (25, 51, 101, 201), evidence: int = 5, per_class: int = 1000, passage: int = 64, most_passages: int = 32, block: int = 64, smooth: float = 1.0) -> DataFrame:
+    """doc_id, score, predicted, nearest (doc_ids of the examples with the nearest passages, the evidence)."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ks, per_class, passage, most_passages, block, smooth))  # bounded by per_class, most_passages and passage
 
     def run(batches):
-        known, fields = shared.value
-        ix = Index(**fields) if fields else None
+        m = shared.value
+        known = Places(m.places if m else {})
         for batch in batches:
-            scores, nearest = [], []
-            for text in batch.column("text").to_pylist():
-                tf = Counter(p for t in terms_of(text) if (p := known.get(t)) is not None)
-                rows = cosines = np.zeros(0, np.int64)
-                if tf:
-                    rows, cosines = ix.nearest(np.array(list(tf)), np.array(list(tf.values()), dtype=float), k)
-                if len(rows):
-                    votes = np.bincount(ix.labels[rows], weights=cosines, minlength=2) * ix.scale + smooth * ix.prior
-                    scores.append(float(votes[1] / votes.sum()))
-                else:
-                    scores.append(ix.blank if ix else 0.0)
-                nearest.append(ix.ids[rows[:evidence]].tolist() if len(rows) else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(nearest, pa.list_(pa.int64()))],
-                names=["doc_id", "score", "predicted", "nearest"],
-            )
+            for part in slices(batch):
+                scores, nearest = [], []
+                for text in part.column("text").to_pylist():
+                    rows, cosines = m.index.nearest(*known.counts(text), m.k) if m else ((), ())
+                    scores.append(m.score(m.index.share(rows, cosines)) if len(rows) else float(m.index.prior[1]) if m else 0.0)
+                    nearest.append(list(dict.fromkeys(m.index.ids[rows].tolist()))[:evidence] if len(rows) else [])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(nearest, pa.list_(pa.int64()))],
+                    names=["doc_id", "score", "predicted", "nearest"],
+                )
 
     return doc_text(docs).mapInArrow(run, SCORED)
