@@ -9,7 +9,8 @@ whole stream as often as it goes, and then blocks from the stream's start; a doc
 these blocks, plus its full repeats, is what the mix takes of it.
 
 Only tables with a row per source or per shard are ranked as a whole; documents meet only in their
-shard, of which a hot source has more.  Null texts have size 0 and are never taken; a null source
+shard, of which a hot source has more; texts without a doc_id, or that share one, are dealt by the
+text's hash too.  Null texts have size 0 and are never taken; a null source
 is a source of its own, last in order.  Rows that repeat a doc_id count each.  If all sizes are 0,
 all targets are.
 """
@@ -71,23 +72,23 @@ def apportion(rows: DataFrame, within: list[str], key: list[str], share: str, se
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 4, shard_docs: int = 1024) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per input row."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    """doc_id, source, size, text_hash, source_size, target, taken: one row per input row."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     sized = cut(sized)  # sizes are read three times below; texts only here
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / shard_docs).cast("long").alias("shards"))
     goal = targets(by_source.select("source", "source_size"), weights, most)
     goal = goal.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
     quotas = apportion(goal, [], ["source"], "target", "seats").join(by_source.select(F.col("source").alias("_source"), "shards"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "seats")
     quotas = cut(quotas)  # a row per source
-    at = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col("text_hash"))), 1, 15), 16, 10).cast("long")
     few = quotas.select(F.col("source").alias("_source"), "shards", "source_size", "target", F.col("quota").alias("source_quota"))
     dealt = sized.withColumn("at", at).join(few, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("shard", F.pmod("at", F.col("shards")))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("seats"))
     shards = apportion(shards, ["source"], ["shard"], "shard_size", "seats").select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", (F.col("quota") * block).alias("words"))
-    stream = Window.partitionBy("source", "shard").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    stream = Window.partitionBy("source", "shard").orderBy("at", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     words = F.least("words", most * F.col("shard_size"))
     full = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")
     over = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("start")))
-    return placed.withColumn("full", full).withColumn("rest", words - F.col("full") * F.col("shard_size")).select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + over).cast("long").alias("taken"))
+    return placed.withColumn("full", full).withColumn("rest", words - F.col("full") * F.col("shard_size")).select("doc_id", "source", "size", "text_hash", "source_size", "target", (F.col("full") * F.col("size") + over).cast("long").alias("taken"))
