@@ -45,6 +45,8 @@ STEMS = (4, 5)
 SCORED = "doc_id long, score double, predicted int, nearest array<long>"
 #: Terms in more than this share of all passages have a column of weights rather than a list.
 COMMON = 1 / 16
+#: Texts that are searched together.
+QUERIES = 64
 #: Keeps log odds of votes finite.
 EDGE = 1e-3
 
@@ -67,7 +69,7 @@ def terms_of(text: str) -> list[str]:
 
 class Places(dict):
     """What stands between blanks, to the places in the vocabulary of all forms of its runs of
-    letters; forgets all when it holds ``most`` entries."""
+    letters; keeps the first ``most`` entries."""
 
     most = 1 << 17
 
@@ -75,9 +77,12 @@ class Places(dict):
         self.known = known
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        places = self[token] = tuple(p for t in terms_of(token) if (p := self.known.get(t)) is not None)
+        bare = token.rstrip(".,:;!?")
+        words = (bare,) if bare.isalpha() else letters(token)
+        get = self.known.get
+        places = tuple(p for w in words for t in forms(w) if (p := get(t)) is not None)
+        if len(self) < self.most:
+            self[token] = places
         return places
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -102,39 +107,50 @@ class Index:
     scale: np.ndarray  # votes of label 0 and 1 are rescaled by
     prior: np.ndarray  # shares of the labels
 
+    def rare_parts(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What the lists of rare terms add to each row, block x row of the block."""
+        blocks, block, _ = self.dense.shape
+        lengths = self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(self.starts[terms] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.bincount(self.rows[at], weights=self.weights[at] * np.repeat(q.astype(np.float32), lengths), minlength=blocks * block).astype(np.float32).reshape(blocks, block)
+
     def nearest(self, terms: np.ndarray, tf: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest passages (ties: earlier row), cosine above 0 only; none of document ``but``."""
-        q = (1 + np.log(tf)) * self.idf[terms]
-        norm = np.sqrt(q @ q)
-        if not norm:
-            return np.zeros(0, np.int64), np.zeros(0)
-        q = q / norm
+        return self.search([(terms, tf)], k, [but])[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of several queries, whose surviving blocks are read once for all of them."""
         blocks, block, width = self.dense.shape
-        column = self.column[terms]
-        rare = column < 0
-        lengths = self.starts[terms[rare] + 1] - self.starts[terms[rare]]
-        at = np.repeat(self.starts[terms[rare]] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        part = np.bincount(self.rows[at], weights=self.weights[at] * np.repeat(q[rare], lengths), minlength=blocks * block).astype(float)
-        if but is not None:
-            part[np.flatnonzero(self.ids == but)] = -np.inf
-        common = np.zeros(width, self.dense.dtype)
-        common[column[~rare]] = q[~rare]
-        part = part.reshape(blocks, block)
-        bound = part.max(axis=1) + common @ self.tops
-        order = np.argsort(-bound, kind="stable")
-        scores = np.full((blocks, block), -np.inf)
-        kth, done, wave = 0.0, 0, max(8, -(-2 * k // block))
-        while len(some := order[done : done + wave]) and bound[some[0]] > 0 and bound[some[0]] >= kth - 1e-6:
-            some = some[bound[some] >= kth - 1e-6]
-            scores[some] = part[some] + (self.dense[some] @ common if 2 * len(some) < blocks else (self.dense.reshape(-1, width) @ common).reshape(blocks, block)[some])
-            done, wave = done + wave, blocks
-            seen = scores[order[:done]]
-            if seen.size > k:
-                kth = max(kth, float(np.partition(seen, seen.size - k, axis=None)[seen.size - k]))
-        scores = scores.ravel()[: len(self.ids)]
-        best = np.flatnonzero(scores >= kth) if kth > 0 else np.flatnonzero(scores > 0)
-        best = best[np.argsort(-scores[best], kind="stable")[:k]]
-        return best, scores[best]
+        parts, common = [], np.zeros((len(queries), width), np.float32)
+        for i, (terms, tf) in enumerate(queries):
+            q = (1 + np.log(tf)) * self.idf[terms]
+            q = q / (np.sqrt(q @ q) or 1)
+            column = self.column[terms]
+            parts.append(self.rare_parts(terms[column < 0], q[column < 0]))
+            common[i, column[column >= 0]] = q[column >= 0]
+            if but and but[i] is not None:
+                parts[i].reshape(-1)[np.flatnonzero(self.ids == but[i])] = -np.inf
+        bounds = np.stack([p.max(axis=1) for p in parts]) + common @ self.tops
+        kth = np.zeros(len(queries), np.float32)
+        first = min(blocks, max(4, -(-2 * k // block)))
+        if first < blocks:  # the k-th best of the most promising blocks
+            for i, some in enumerate(np.argpartition(-bounds, first, axis=1)[:, :first]):
+                seen = (parts[i][some] + self.dense[some] @ common[i]).ravel()
+                if len(seen) > k:
+                    kth[i] = max(0, np.partition(seen, len(seen) - k)[len(seen) - k])
+        alive = (bounds > 0) & (bounds >= kth[:, None] - 1e-5)
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        alike = np.argsort(common.argmax(axis=1), kind="stable") if width else np.arange(len(queries))
+        for group in (alike[i : i + 16] for i in range(0, len(alike), 16)):
+            some = np.flatnonzero(alive[group].any(axis=0))
+            held = self.dense if len(some) == blocks else self.dense[some]
+            added = common[group] @ held.reshape(-1, width).T
+            for i, more in zip(group.tolist(), added, strict=True):
+                scores = parts[i][some].ravel() + more
+                best = np.flatnonzero((scores > 0) & (scores >= kth[i] - 1e-5))
+                best = best[np.argsort(-scores[best], kind="stable")[:k]]
+                out[i] = some[best // block] * block + best % block, scores[best].astype(float)
+        return out
 
     def share(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         """Share of the votes for label 1."""
@@ -308,8 +324,9 @@ def score(docs: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (25, 51, 101
         for batch in batches:
             for part in slices(batch):
                 scores, nearest = [], []
-                for text in part.column("text").to_pylist():
-                    rows, cosines = m.index.nearest(*known.counts(text), m.k) if m else ((), ())
+                texts = part.column("text").to_pylist()
+                found = [x for i in range(0, len(texts), QUERIES) for x in m.index.search([known.counts(t) for t in texts[i : i + QUERIES]], m.k)] if m else [((), ())] * len(texts)
+                for rows, cosines in found:
                     scores.append(m.score(m.index.share(rows, cosines)) if len(rows) else float(m.index.prior[1]) if m else 0.0)
                     nearest.append(list(dict.fromkeys(m.index.ids[rows].tolist()))[:evidence] if len(rows) else [])
                 yield pa.RecordBatch.from_arrays(
