@@ -58,3 +58,100 @@ def test_masking(spark):
     assert row["text"] == "é [SECRET] then [SECRET]. [SECRET]" and row["n_chars"] == len(row["text"]) and row["row"] == "clash"
     (row,) = secrets.mask(documents(spark, [(1, None, "en", "web")])).collect()
     assert row["text"] is None
+
+
+def test_a_text_of_many_spans(spark):
+    """Forty thousand secrets in one text: spans, the rule on base spans, and masking stay linear."""
+    n = 40_000
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    parts = [f"é\U0001f600 token={i:06d}" if i % 2 else f"key {''.join(rng.choices(letters, k=40))}" for i in range(n)]
+    text = " ".join(parts)
+    docs = documents(spark, [(1, text, "en", "web")])
+    (row,) = secrets.scan(docs).collect()
+    assert [tuple(s) for s in row["base"]] == base(text)
+    assert len(row["spans"]) > n * 0.9
+    (masked,) = secrets.mask(docs).collect()
+    out, at = [], 0
+    for start, _, end in sorted(map(tuple, row["spans"])):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    assert masked["text"] == "".join(out) + text[at:]
+
+
+def test_candidates_within_base_spans_are_left_out(spark):
+    """Against brute force, with overlapping, nested and touching spans."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    schema = "id int, base array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,b:struct<logp:double,cls:int>>>"
+    rows = []
+    for i in range(40):
+        spans = sorted((a, rng.randrange(3), a + rng.randrange(1, 30)) for a in rng.choices(range(2000), k=rng.randrange(1, 400)))
+        tried = [(a, a + rng.randrange(1, 30), (1.0, 0)) for a in sorted(rng.sample(range(2000), k=rng.randrange(1, 400)))]
+        rows.append((i, spans, tried))
+    got = {r["id"]: r["c"] for r in spark.createDataFrame(rows, schema).select("id", secrets.outside(F.col("base"), F.col("candidates")).alias("c")).collect()}
+    for i, spans, tried in rows:
+        assert [(c["start"], c["end"]) for c in got[i]] == [(a, e) for a, e, _ in tried if not any(s <= a and e <= t for s, _, t in spans)]
+
+
+def judged(token, tolerance=3.3):
+    """The battery of one token, from its definition in plain Python."""
+    import math
+
+    bare = token.rstrip("=")
+    low, up, num = (re.search(c, bare) is not None for c in ("[a-z]", "[A-Z]", "[0-9]"))
+    if num and (re.fullmatch("[0-9a-f]+", bare) if low else up and re.fullmatch("[0-9A-F]+", bare)):
+        name, plain = "hex", bare.lower()
+    elif num and re.fullmatch("[A-Z2-7]+", bare):
+        name, plain = "base32", bare
+    elif low and up and num:
+        name, plain = "base64", bare.replace("-", "+").replace("_", "/")
+    else:
+        return None
+    letters, coincidence, rate = secrets.ALPHABETS[name]
+    at, a, n = [letters.find(c) + 1 for c in plain], len(letters), len(plain)
+    chi = a / n * sum(at.count(x) ** 2 for x in set(at)) - n
+    chi_z = (chi - (a - 1)) / math.sqrt(2 * (a - 1) * (n - 1) / n)
+    sd = a * math.sqrt(2 * coincidence * (1 - coincidence) + 1.2 * n * coincidence**2)
+    natural_z = (chi - (a * (1 + (n - 1) * coincidence) - n)) / sd
+    kinds = [0 if c in "abcdefghijklmnopqrstuvwxyz" else 1 if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 2 for c in plain]
+    # a change between two characters of other kinds, as the pattern reads it
+    changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+    changes_z = (changes - rate * (n - 1)) / math.sqrt(rate * (1 - rate) * (n - 1))
+
+    def tail(z):
+        return 0.0 if z >= 0 else z * z / 2 + math.log(-z + math.sqrt(z * z + 4)) - math.log(2)
+
+    both = tail(natural_z) + tail(-changes_z)
+    high = [x > a / 2 for x in at]
+    n1 = sum(high)
+    mean = 2 * n1 * (n - n1) / n + 1
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
+    runs_z = (runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    centre = sum(at) / n
+    var = sum((x - centre) ** 2 for x in at)
+    cov = sum((x - centre) * (y - centre) for x, y in zip(at, at[1:], strict=False))
+    serial_z = cov / var * math.sqrt(n) + 1 / math.sqrt(n) if var > 0 else 99.0
+    fine = chi_z < tolerance and abs(runs_z) < tolerance and abs(serial_z) < tolerance
+    return (both - math.log(1 + both) if fine else None), 0 if n < 32 else 1 if n < 64 else 2
+
+
+def test_battery_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    alphabets = [x[0] for x in secrets.ALPHABETS.values()] + ["0123456789ABCDEF", "abcdefghijklmnop", "AAAAaaaa1234", "ABCabc123_-"]
+    tokens = ["".join(rng.choices(rng.choice(alphabets), k=rng.randrange(20, 120))) + "=" * rng.randrange(3) for _ in range(600)]
+    tokens += ["averyLongCamelCaseIdentifierName2", "a1" * 30, "aB3" * 20, "0123456789abcdef" * 4]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").select("i", secrets.battery(F.col("t"), 3.3).alias("b")).collect()
+    assert sum(r["b"] is not None and r["b"]["logp"] is not None for r in got) > 100
+    for r in got:
+        want = judged(tokens[r["i"]])
+        if want is None:
+            assert r["b"] is None or r["b"]["logp"] is None
+        else:
+            logp, cls = want
+            assert r["b"]["cls"] == cls and (r["b"]["logp"] is None) == (logp is None)
+            assert logp is None or abs(r["b"]["logp"] - logp) < 1e-6 * max(1, abs(logp))

@@ -46,6 +46,34 @@ ALPHABETS = {
 CHANGE = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[^A-Za-z])(?=[A-Za-z])"
 #: p values are binned by floor(BINS_PER_E * -ln p), at most LAST_BIN.
 BINS_PER_E, LAST_BIN = 8, 800
+#: Places of an array, and code points of a text, that are taken together.
+CHUNK, BLOCK = 128, 1024
+
+
+def let(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` computed once, as in a LET."""
+    return F.transform(F.array(c), f)[0]
+
+
+def running(values: Column, op) -> Column:
+    """array<int>: ``op`` (a sum, say) over the values up to each place; the values start from 0.
+
+    Places are taken in chunks, then the chunks, so the time is about linear in the array's length.
+    """
+    empty = F.from_json(F.lit("[]"), "array<int>")
+
+    def appended(xs: Column) -> Column:
+        return F.aggregate(xs, empty, lambda acc, x: F.array_append(acc, op(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)), x)))
+
+    def joined(chunks: Column) -> Column:
+        ends = appended(F.transform(chunks, lambda c: F.get(c, F.size(c) - 1)))
+        return let(ends, lambda e: F.flatten(F.transform(chunks, lambda c, i: F.transform(c, lambda x: op(F.coalesce(F.get(e, i - 1), F.lit(0)), x)))))
+
+    def chunked(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
+        return let(F.transform(numbers, lambda i: appended(F.slice(xs, i * CHUNK + 1, CHUNK))), joined)
+
+    return let(values, lambda xs: F.when(F.size(xs) > 0, chunked(xs)).otherwise(empty))
 
 
 def hits(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -57,16 +85,13 @@ def hits(text: Column, pattern: str, group: int | None = None) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = tokens if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(gaps.alias("gap"), tokens.alias("token"), parts.alias("part"))
+    rows = F.filter(F.arrays_zip(gaps.alias("gap"), tokens.alias("token"), parts.alias("part")), lambda x: x["token"].isNotNull())
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["token"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"), x["part"].alias("part"))
-        return F.when(x["token"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans")))
+    def placed(xs: Column) -> Column:
+        ends = running(F.transform(xs, lambda x: x["gap"] + F.char_length(x["token"])), lambda a, b: a + b)
+        return F.zip_with(xs, ends, lambda x, end: F.struct((end - F.char_length(x["token"])).alias("start"), end.alias("end"), x["token"].alias("token"), x["part"].alias("part")))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return F.when(text.rlike(pattern), let(rows, placed)).otherwise(empty)
 
 
 def kind(spans: Column, name: str) -> Column:
@@ -93,9 +118,6 @@ def battery(token: Column, tolerance: float) -> Column:
         return c.when(name == "base32", F.lit(ALPHABETS["base32"][i])).when(name == "base64", F.lit(ALPHABETS["base64"][i]))
 
     # each value is computed once and named by an inner struct, as in nested LETs
-    def let(c: Column, f) -> Column:
-        return F.transform(F.array(c), f)[0]
-
     def judged(v: Column) -> Column:
         n, a = v["n"], v["a"]
         chi = a / n * v["squares"] - n
@@ -150,6 +172,20 @@ def battery(token: Column, tolerance: float) -> Column:
     return F.when(name.isNotNull(), letters)
 
 
+def outside(base: Column, candidates: Column) -> Column:
+    """Candidates within no base span: the farthest end of the base spans that start before or with
+    a candidate falls short of its end."""
+    base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("tried"), s["end"].alias("end"), F.lit(None).cast("struct<logp:double,cls:int>").alias("b")))
+    tried = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("tried"), c["end"].alias("end"), c["b"].alias("b")))
+
+    def kept(xs: Column) -> Column:
+        reach = running(F.transform(xs, lambda x: F.when(x["tried"] == 0, x["end"]).otherwise(0)), F.greatest)
+        rows = F.filter(F.zip_with(xs, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach"))), lambda y: (y["x"]["tried"] == 1) & (y["x"]["end"] > y["reach"]))
+        return F.transform(rows, lambda y: F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["b"].alias("b")))
+
+    return let(F.array_sort(F.concat(base, tried)), kept)
+
+
 def found(docs: DataFrame, least: int, tolerance: float, *more: Column) -> DataFrame:
     """doc_id, base (spans), candidates (start, end, b) and further columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -161,8 +197,8 @@ def found(docs: DataFrame, least: int, tolerance: float, *more: Column) -> DataF
     )
     tried = F.filter(tried, lambda s: s["b"]["logp"].isNotNull())
     rows = docs.select("doc_id", base.alias("base"), tried.alias("candidates"), *more)
-    outside = F.filter("candidates", lambda c: ~F.exists("base", lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"])))
-    return rows.withColumn("candidates", outside)
+    clear = F.when((F.size("base") > 0) & (F.size("candidates") > 0), outside(F.col("base"), F.col("candidates"))).otherwise(F.col("candidates"))
+    return rows.withColumn("candidates", clear)
 
 
 def cuts(rows: DataFrame, fdr: float) -> DataFrame:
@@ -205,17 +241,30 @@ def counts(spans: Column, name: str) -> Column:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with each maximal run of overlapping spans replaced by ``mask``."""
-
-    def step(acc, s):
-        inside = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"),
-        )
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """``text`` with each maximal run of overlapping spans replaced by ``mask``.
+
+    The text is cut once into blocks, so that what lies between two runs is taken from its own
+    blocks and not searched for from the start."""
+
+    def between(blocks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return F.when(end > start, F.substring(near, start - first * BLOCK + 1, end - start)).otherwise("")
+
+    def rebuilt(v: Column) -> Column:
+        blocks, reach = v["blocks"], v["reach"]
+        before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))  # noqa: E731  where the spans before end
+        begins = F.filter(F.transform(v["spans"], lambda s, i: F.struct(before(i).alias("from"), s["start"].alias("to"))), lambda g: g["to"] >= g["from"])
+        kept = F.transform(begins, lambda g: between(blocks, g["from"], g["to"]))
+        return F.concat(F.array_join(kept, mask), F.lit(mask), between(blocks, F.get(reach, F.size(reach) - 1), v["n"]))
+
+    parts = F.struct(
+        spans.alias("spans"),
+        running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("reach"),
+        F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)).alias("blocks"),
+        F.char_length(text).alias("n"),
+    )
+    return F.when(F.size(spans) > 0, let(parts, rebuilt)).otherwise(text)
 
 
 def mask(docs: DataFrame) -> DataFrame:
