@@ -19,3 +19,27 @@ def test_levels_with_cycles(spark):
     # the cycle 2 <-> 3 that a root reaches, and 4 beyond it
     assert levels(spark, [(1, 2), (2, 3), (3, 2), (3, 4), (1, 5)]) == {1: 0, 5: 1}
     assert levels(spark, []) == {}
+
+
+def rejected(spark, edges, candidates, **more):
+    edge = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(edges)], "edge_id long, upstream_eid long, downstream_eid long")
+    tried = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(candidates)], edge.schema)
+    return sorted(r["edge_id"] for r in dag.would_cycle(edge, tried, **more).collect())
+
+
+def test_cycles_and_the_bound_of_a_walk(spark):
+    chain = [(i, i + 1) for i in range(6)]
+    assert rejected(spark, chain, [(6, 0), (0, 6), (3, 3), (5, 2), (9, 0)]) == [0, 2, 3]
+    assert rejected(spark, chain, []) == []
+    # from 0 seven nodes are visited: no more than seven may be, but six are too few
+    assert rejected(spark, chain, [(9, 0)], most=7) == [] and rejected(spark, chain, [(9, 0)], most=6) == [0]
+    fan = [(1, i) for i in range(2, 1001)]
+    assert rejected(spark, fan, [(5000, 1)]) == [] and rejected(spark, [*fan, (1, 1001)], [(5000, 1)]) == [0]
+
+
+def test_skip_cascade_beyond_fifty_levels(spark):
+    edge = spark.createDataFrame([(1, i, i, i + 1) for i in range(55)], "flow_id long, edge_id long, upstream_eid long, downstream_eid long")
+    policy = spark.createDataFrame([(i + 1, "all_of", 1, "let_run") for i in range(55)], "downstream_eid long, kind string, k int, on_satisfied string")
+    outcome = spark.createDataFrame([(i, "none" if i else "failed") for i in range(56)], "execution_id long, terminal_outcome string")
+    assert sorted((r["execution_id"], r["level"]) for r in dag.skip_cascade(edge, policy, outcome).collect()) == [(i, i) for i in range(1, 56)]
+    assert dag.skip_cascade(edge, policy, outcome, 3).count() == 3

@@ -22,6 +22,28 @@ def test_budget_statuses():
     assert [(r["status"], r["used"]) for r in rows] == [("ok", 50), ("already_applied", 50), ("soft_breach", 70), ("hard_breach", 70), ("soft_breach", 100)]
 
 
+def report(now, key=None, **deltas):
+    hard, soft = {"tokens": 100, "calls": 3}, {"tokens": 60, "calls": None}
+    return {"budget_id": 1, "seq": now, "now_ms": now, "dedup_key": key, "dims": list(deltas), "deltas": list(deltas.values()), "hard": [hard.get(d) for d in deltas], "soft": [soft.get(d) for d in deltas]}
+
+
+def test_budget_by_dimension():
+    log = [report(0, "a", tokens=50, calls=1), report(5, "a", tokens=50, calls=1), report(6, "b", calls=1, tokens=51), report(7, "b", calls=1, tokens=20, free=9), report(10, "a", tokens=1, calls=1), report(11, "c", tokens=1, calls=1), report(12, "a", tokens=1)]
+    rows = run(folds.budget_dims_step(10), log)
+    # all or nothing; a key is known for ten milliseconds after it was accepted, and not at the tenth
+    assert [(r["status"], r["dim"], r["used"]) for r in rows] == [
+        ("ok", None, 51), ("already_applied", None, 51), ("hard_breach", "tokens", 51), ("soft_breach", "tokens", 81),
+        ("soft_breach", "tokens", 83), ("hard_breach", "calls", 83), ("already_applied", None, 83),
+    ]
+
+
+def test_budget_forgets_old_keys():
+    step, state = folds.budget_dims_step(10), None
+    for i in range(1000):
+        state, _ = step(state, report(i, str(i), free=1))
+    assert len(state["seen"]) <= 11
+
+
 def test_ledger_floor_and_reset():
     kinds = [("spend", 1, 40), ("spend", 2, 30), ("reset", None, 0), ("spend", 2, 10), ("release", 1, 0), ("release", 2, 0)]
     (end,) = run(folds.ledger_step, [{"kind": k, "execution_id": e, "delta": d} for k, e, d in kinds], folds.ledger_end)
@@ -39,6 +61,23 @@ def test_quota():
     assert rows[3]["retry_after_ms"] == 59_970
 
 
+def test_quota_against_plain_lists():
+    import random
+
+    rng, times, guards, now = random.Random(3), [], {}, 0
+    state, step = None, folds.quota_step(50, 5)
+    for _ in range(3000):
+        now += rng.randrange(-3, 8)
+        c = call(rng.randrange(30), now)
+        times, guards = [t for t in times if t > now - 50], {e: t for e, t in guards.items() if t > now}
+        want = "already_admitted" if c["execution_id"] in guards else "rate_exceeded" if len(times) >= 5 else "admitted"
+        if want == "admitted":
+            times.append(now)
+            guards[c["execution_id"]] = now + 50
+        state, (row,) = step(state, c)
+        assert row["status"] == want and (want != "rate_exceeded" or row["retry_after_ms"] == min(times) + 50 - now)
+
+
 def test_quota_concurrency():
     rows = run(folds.quota_step(60_000, 10, cap=2), [call(e, i) for i, e in enumerate("abc")])
     assert [r["status"] for r in rows] == ["admitted", "admitted", "concurrency_exceeded"]
@@ -57,6 +96,12 @@ def deliver(i, name="go", source="s", waitpoint=1, key=None):
         ({"count": 2, "kind": "signals"}, [deliver(1, key="k"), deliver(2, key="k"), deliver(3)], ["accepted", "duplicate", "resumed"]),
         ({"count": 1, "kind": "signals", "names": ["stop"]}, [deliver(1), deliver(2, "stop")], ["accepted", "resumed"]),
         ({"all": [{"count": 1, "kind": "signals", "waitpoints": [w]} for w in (1, 2, 3)]}, [deliver(1, waitpoint=w) for w in (1, 2, 2, 3)], ["accepted", "accepted", "accepted", "resumed"]),
+        ({"mode": "any", "names": ["stop", "halt"]}, [deliver(1), deliver(2, "halt")], ["accepted", "resumed"]),
+        ({"mode": "all", "names": ["go", "stop"]}, [deliver(1), deliver(2), deliver(3, "stop")], ["accepted", "accepted", "resumed"]),
+        ({"mode": "all", "names": ["go", "go"]}, [deliver(1), deliver(2)], ["accepted", "resumed"]),
+        ({"mode": "count", "names": ["a", "b", "c"], "minimum": 2}, [deliver(1, "a"), deliver(2, "a"), deliver(3, "c")], ["accepted", "accepted", "resumed"]),
+        ({"mode": "any", "names": []}, [deliver(1, "whatever")], ["resumed"]),
+        ({"mode": "some"}, [deliver(1)], ["unknown_mode"]),
         ({"count": 0, "kind": "signals"}, [deliver(1)], ["count_below_one"]),
         ({"all": []}, [deliver(1)], ["empty_all"]),
         ({"all": [{"all": [{"all": [{"all": [{"count": 1, "kind": "signals"}]}]}]}]}, [deliver(1)], ["condition_too_deep"]),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Deepest cascade that one call follows, and most nodes that one cycle check visits (fixed values).
+#: Deepest cascade that one sweep follows, and most nodes that one cycle check visits (fixed values).
 MAX_CASCADE, MAX_VISITED = 50, 1000
 
 
@@ -72,8 +74,9 @@ def flow_eligibility(executions: DataFrame, edge: DataFrame) -> DataFrame:
     return rows.select("execution_id", status.alias("status"))
 
 
-def skip_cascade(edge: DataFrame, policy: DataFrame, outcome: DataFrame, depth: int = MAX_CASCADE) -> DataFrame:
-    """Executions that end skipped because their edge group can't be satisfied, to the fixed point.
+def skip_cascade(edge: DataFrame, policy: DataFrame, outcome: DataFrame, depth: int | None = None) -> DataFrame:
+    """Executions that end skipped because their edge group can't be satisfied, to the fixed point,
+    or for ``depth`` rounds: then what lies deeper is left for the next call.
 
     Each round decides only groups downstream of nodes skipped in the round before.  It writes only
     the newly skipped to the shared checkpoint folder (and now and then all of them as one), so
@@ -82,7 +85,7 @@ def skip_cascade(edge: DataFrame, policy: DataFrame, outcome: DataFrame, depth:
 
     state = outcome.select("execution_id", "terminal_outcome")
     known, edges, skipped = state, edge, None
-    for level in range(1, depth + 1):
+    for level in itertools.count(1) if depth is None else range(1, depth + 1):
         doomed = decisions(edges, policy, known).where("state = 'impossible'").select(F.col("downstream_eid").alias("execution_id"))
         new = cut(doomed.join(known.where("terminal_outcome = 'none'"), "execution_id", "left_semi").withColumn("level", F.lit(level)))
         skipped = new if skipped is None else skipped.unionByName(new)
@@ -130,26 +133,32 @@ def levels(edge: DataFrame) -> DataFrame:
     return rounds(settled)
 
 
-def would_cycle(edge: DataFrame, candidates: DataFrame, depth: int = MAX_VISITED) -> DataFrame:
+def would_cycle(edge: DataFrame, candidates: DataFrame, most: int = MAX_VISITED) -> DataFrame:
     """Candidate edges (edge_id, upstream_eid, downstream_eid) that would close a cycle: those from
-    whose downstream the upstream can be reached.  Self loops count.  All candidates walk at once;
-    one that visits ``MAX_VISITED`` nodes without an answer is rejected too."""
+    whose downstream the upstream can be reached.  Self loops count.  One that visits more than
+    ``most`` nodes without an answer is rejected too.
+
+    All candidates walk at once, and each leaves the walk once it has its answer or has passed the
+    bound, so what is kept of one is bounded by ``most`` nodes and the neighbours of the last ones.
+    A round writes only the nodes that are new in it."""
     from tidefold.operators.store import cut
 
     steps = edge.select(F.col("upstream_eid").alias("node"), F.col("downstream_eid").alias("next"))
-    goal = candidates.select("edge_id", F.col("upstream_eid").alias("goal"))
-    front = candidates.select("edge_id", F.col("downstream_eid").alias("node"))
-    seen = cut(front)
-    front = seen
-    for _ in range(depth):
-        front = cut(front.join(steps, "node").select("edge_id", F.col("next").alias("node")).distinct().join(seen, ["edge_id", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    visited = seen.groupBy("edge_id").agg(F.count(F.lit(1)).alias("visited"))
-    hit = seen.join(goal, "edge_id").where("node = goal").select("edge_id").distinct().withColumn("hit", F.lit(True))
-    rows = candidates.join(visited, "edge_id").join(hit, "edge_id", "left")
-    return rows.where(F.coalesce("hit", F.lit(False)) | (F.col("visited") >= MAX_VISITED)).select("edge_id", "upstream_eid", "downstream_eid")
+    front = cut(candidates.select("edge_id", F.col("upstream_eid").alias("goal"), F.col("downstream_eid").alias("node")))
+    seen, rejected, level = front, None, 0
+    while not front.isEmpty():
+        level += 1
+        hit = front.where("node = goal").select("edge_id")
+        over = seen.groupBy("edge_id").agg(F.count(F.lit(1)).alias("visited")).where(F.col("visited") > most).select("edge_id")
+        settled = cut(hit.unionByName(over).distinct())
+        rejected = settled if rejected is None else rejected.unionByName(settled)
+        seen = seen.join(settled, "edge_id", "left_anti")
+        near = front.join(settled, "edge_id", "left_anti").join(steps, "node").select("edge_id", "goal", F.col("next").alias("node")).distinct()
+        front = cut(near.join(seen.select("edge_id", "node"), ["edge_id", "node"], "left_anti").select("edge_id", "goal", "node"))
+        seen = seen.unionByName(front)
+        if level % 4 == 0:
+            seen, rejected = cut(seen), cut(rejected)
+    return candidates.where("false").select("edge_id", "upstream_eid", "downstream_eid") if rejected is None else candidates.join(rejected, "edge_id", "left_semi").select("edge_id", "upstream_eid", "downstream_eid")
 
 
 def staged(edge: DataFrame, candidates: DataFrame, executions: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ collected.  (That a self-referential fold of one key runs in one task is its mea
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -75,6 +77,44 @@ def budget_step(state, c):
 BUDGET = "budget_id long, seq long, status string, used long"
 
 
+def budget_dims_step(ttl_ms: int) -> Step:
+    """A report of several dimensions: every hard limit is checked before anything is added, so one
+    that would be passed leaves all as they were; then soft limits, the first one passed is named.
+
+    ``dims``, ``deltas``, ``hard`` and ``soft`` are arrays of one length; a limit that is null or
+    not above 0 is none.  An accepted dedup_key is known for ``ttl_ms``, and then forgotten."""
+
+    def over(limits, values):
+        return next((i for i, (limit, v) in enumerate(zip(limits, values, strict=True)) if limit is not None and 0 < limit < v), None)
+
+    def step(state, c):
+        s = state or {"used": {}, "seen": {}}
+        used, seen, key, now = s["used"], s["seen"], c["dedup_key"], c["now_ms"]
+        while seen and seen[first := next(iter(seen))] <= now:
+            del seen[first]
+        totals, dim = {}, None
+        for d, delta in zip(c["dims"], c["deltas"], strict=True):
+            totals[d] = totals.get(d, used.get(d, 0)) + delta
+        after = [totals[d] for d in c["dims"]]
+        if key is not None and seen.get(key, now) > now:
+            status = "already_applied"
+        elif (i := over(c["hard"], after)) is not None:
+            status, dim = "hard_breach", c["dims"][i]
+        else:
+            used.update(totals)
+            if key is not None:
+                seen.pop(key, None)
+                seen[key] = now + ttl_ms
+            i = over(c["soft"], after)
+            status, dim = ("ok", None) if i is None else ("soft_breach", c["dims"][i])
+        return s, [{"budget_id": c["budget_id"], "seq": c["seq"], "status": status, "dim": dim, "used": sum(used.values())}]
+
+    return step
+
+
+BUDGET_DIMS = "budget_id long, seq long, status string, dim string, used long"
+
+
 def ledger_step(state, c):
     """Per-execution ledgers of a budget: ``spend`` adds to one, ``release`` gives all of it back
     (usage never below 0), ``reset`` zeroes the usage."""
@@ -102,24 +142,29 @@ def ledger_end(key, s):
 
 
 def quota_step(window_ms: int, rate: int, cap: int = 0, jitter_ms: int = 0) -> Step:
-    """Sliding-window admission: admitted before? rate? concurrency?  Only admitted calls count."""
+    """Sliding-window admission: admitted before? rate? concurrency?  Only admitted calls count.
+
+    What has left the window is dropped from the front, so a call costs the same at any rate."""
 
     def step(state, c):
-        s = state or {"times": [], "guards": {}, "active": 0}
-        now = c["now_ms"]
-        s["times"] = [t for t in s["times"] if t > now - window_ms]
-        s["guards"] = {e: t for e, t in s["guards"].items() if t > now}
+        s = state or {"times": deque(), "guards": {}, "active": 0}
+        now, times, guards = c["now_ms"], s["times"], s["guards"]
+        while times and times[0] <= now - window_ms:
+            times.popleft()
+        while guards and guards[first := next(iter(guards))] <= now:
+            del guards[first]
         retry = None
-        if c["execution_id"] in s["guards"]:
+        if guards.get(c["execution_id"], now) > now:
             status = "already_admitted"
-        elif len(s["times"]) >= rate:
-            status, retry = "rate_exceeded", s["times"][0] + window_ms - now + jitter_ms
+        elif len(times) >= rate:
+            status, retry = "rate_exceeded", times[0] + window_ms - now + jitter_ms
         elif cap and s["active"] >= cap:
             status = "concurrency_exceeded"
         else:
             status = "admitted"
-            s["times"].append(now)
-            s["guards"][c["execution_id"]] = now + window_ms
+            times.insert(bisect_right(times, now) if times and now < times[-1] else len(times), now)
+            guards.pop(c["execution_id"], None)
+            guards[c["execution_id"]] = now + window_ms
             s["active"] += cap > 0
         return s, [{"policy_id": c["policy_id"], "seq": c["seq"], "status": status, "retry_after_ms": retry}]
 

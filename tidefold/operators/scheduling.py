@@ -28,18 +28,36 @@ def heads(executions: DataFrame, n: int, *by: str) -> DataFrame:
     return ranked(executions, *by).where(F.col("rank") <= n)
 
 
-def capable(executions: DataFrame, workers: DataFrame) -> DataFrame:
-    """(execution_id, worker_instance_id) of every pair of a lane where the worker has all that is
-    required: an equi-join on lane and token, then a count, instead of a nested-loop join.
+def needs(executions: DataFrame) -> DataFrame:
+    return executions.select("execution_id", "lane_id", F.array_sort(F.array_distinct(F.array_remove("required_capabilities", ""))).alias("need"))
+
 
-    Requirements repeat a lot, so the join runs over the distinct requirement sets of a lane."""
-    need = executions.select("execution_id", "lane_id", F.array_sort(F.array_distinct(F.array_remove("required_capabilities", ""))).alias("need"))
+def fitting(need: DataFrame, workers: DataFrame) -> DataFrame:
+    """(lane_id, need, worker_instance_id) of the workers that have all of a requirement set: an
+    equi-join on lane and token, then a count, instead of a nested-loop join.
+
+    Requirements repeat a lot, so it runs over the distinct requirement sets of a lane."""
     sets = need.select("lane_id", "need").distinct()
     have = workers.select("lane_id", "worker_instance_id", F.explode(F.array_distinct("capabilities")).alias("token"))
     some = sets.where(F.size("need") > 0).select("lane_id", "need", F.explode("need").alias("token"))
     full = some.join(have, ["lane_id", "token"]).groupBy("lane_id", "need", "worker_instance_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size("need")).drop("n")
     free = sets.where(F.size("need") == 0).join(workers.select("lane_id", "worker_instance_id").distinct(), "lane_id")
-    return need.join(full.unionByName(free.select(*full.columns)), ["lane_id", "need"]).select("execution_id", "worker_instance_id")
+    return full.unionByName(free.select(*full.columns))
+
+
+def capable(executions: DataFrame, workers: DataFrame) -> DataFrame:
+    """(execution_id, worker_instance_id) of every pair of a lane where the worker has all that is
+    required."""
+    need = needs(executions)
+    return need.join(fitting(need, workers), ["lane_id", "need"]).select("execution_id", "worker_instance_id")
+
+
+def capable_counts(executions: DataFrame, workers: DataFrame) -> DataFrame:
+    """How many workers fit each execution (none: no row).  Workers are counted per requirement set
+    before executions are joined, so no pair of both is ever made."""
+    need = needs(executions)
+    counts = fitting(need, workers).groupBy("lane_id", "need").agg(F.count(F.lit(1)).alias("workers"))
+    return need.join(counts, ["lane_id", "need"]).select("execution_id", "workers")
 
 
 def claims(executions: DataFrame, workers: DataFrame, overfetch: int = 10) -> DataFrame:

@@ -14,6 +14,12 @@ def due(df: DataFrame, column: str, now: int) -> DataFrame:
     return df.where(F.col(column).isNotNull() & (F.col(column) <= now))
 
 
+def first_due(df: DataFrame, column: str, now: int, n: int, key: str = "execution_id") -> DataFrame:
+    """The ``n`` rows that have been due longest, ties by key: one batch of a sweep.  Spark takes the
+    first ``n`` of each partition before it merges them."""
+    return due(df, column, now).orderBy(column, key).limit(n)
+
+
 def lease_expiry(executions: DataFrame, attempt: DataFrame, now: int) -> DataFrame:
     """Leased executions whose lease has run out become reclaimable."""
     leased = executions.where("ownership_state = 'leased'")
@@ -71,6 +77,13 @@ def budget_breaches(policy: DataFrame, usage: DataFrame) -> DataFrame:
     return rows.select("budget_id", "used", (F.col("used") > F.col("hard_limit")).alias("hard_breached"), (F.col("used") > F.col("soft_limit")).alias("soft_breached"))
 
 
+def dim_breaches(policy: DataFrame, usage: DataFrame, share: int) -> DataFrame:
+    """Usage recounted per dimension, against a ``share``-th of both limits."""
+    used = usage.groupBy("budget_id", "dim").agg(F.sum("delta").alias("used"))
+    rows = used.join(policy.select("budget_id", "hard_limit", "soft_limit"), "budget_id")
+    return rows.select("budget_id", "dim", "used", *[(F.col("used") > F.floor(F.col(f"{x}_limit") / share)).alias(f"{x}_breached") for x in ("hard", "soft")])
+
+
 def quota_recount(admission: DataFrame, now: int) -> DataFrame:
     """Admissions that are still alive, per policy."""
     return admission.groupBy("policy_id").agg(F.count_if(F.col("expires_at_ms") > now).alias("live"), F.count(F.lit(1)).alias("ever"))

@@ -64,12 +64,12 @@ def derived_once(m, policy):
 SELECT execution_id, CAST(min(level) AS INT) AS level FROM s GROUP BY execution_id""",
 )
 def skip_cascade(m):
-    return D.skip_cascade(*derived_once(m, m.edge_policy.withColumn("kind", F.lit("all_of"))))
+    return D.skip_cascade(*derived_once(m, m.edge_policy.withColumn("kind", F.lit("all_of"))), D.MAX_CASCADE)
 
 
 @query("skip_cascade_mixed")
 def skip_cascade_mixed(m):
-    return D.skip_cascade(*derived_once(m, m.edge_policy))
+    return D.skip_cascade(*derived_once(m, m.edge_policy), D.MAX_CASCADE)
 
 
 @query(

@@ -39,6 +39,40 @@ def budget_spend(m):
     return folds.fold(budget_log(m), "budget_id", ["now_ms", "seq"], folds.budget_step, folds.BUDGET)
 
 
+#: How long an accepted report's key is known, and the limits of calls, in the query by dimension.
+KNOWN_MS, CALLS_HARD, CALLS_SOFT = 86_400_000, 40, 20
+DIMS = ("click", "error", "purchase", "signup", "view")
+KNOWN = "(len(list_filter(f.seen, lambda s: s.k = o.dedup_key AND s.until_ms > o.now_ms)) > 0)"
+HARD = ["f.used[o.i] + o.delta > o.hard_limit // 4", f"f.used[6] + 1 > {CALLS_HARD}"]
+SOFT = ["f.used[o.i] + o.delta > o.soft_limit // 4", f"f.used[6] + 1 > {CALLS_SOFT}"]
+KEPT = f"{KNOWN} OR {HARD[0]} OR {HARD[1]}"
+BUDGET_DIMS_SQL = log_sql(
+    f"SELECT u.*, p.hard_limit, p.soft_limit, list_position([{', '.join(repr(d) for d in DIMS)}], u.dim) AS i FROM usage u JOIN budget_policy p ON u.budget_id = p.budget_id",
+    "budget_id",
+    "now_ms, seq",
+    "0::BIGINT, ''::VARCHAR, NULL::VARCHAR, [0, 0, 0, 0, 0, 0]::BIGINT[], []::STRUCT(k VARCHAR, until_ms BIGINT)[]",
+    f"o.seq, CASE WHEN {KNOWN} THEN 'already_applied' WHEN {HARD[0]} OR {HARD[1]} THEN 'hard_breach' WHEN {SOFT[0]} OR {SOFT[1]} THEN 'soft_breach' ELSE 'ok' END, "
+    f"CASE WHEN {KNOWN} THEN NULL WHEN {HARD[0]} THEN o.dim WHEN {HARD[1]} THEN 'calls' WHEN {SOFT[0]} THEN o.dim WHEN {SOFT[1]} THEN 'calls' END, "
+    f"CASE WHEN {KEPT} THEN f.used ELSE list_transform(f.used, lambda v, n: v + CASE WHEN n = o.i THEN o.delta WHEN n = 6 THEN 1 ELSE 0 END) END, "
+    f"CASE WHEN {KEPT} THEN f.seen ELSE list_append(f.seen, {{'k': o.dedup_key, 'until_ms': o.now_ms + {KNOWN_MS}}}) END",
+    "budget_id, seq, status, dim, CAST(list_sum(used) AS BIGINT) AS used",
+    "seq, status, dim, used, seen",
+)
+
+
+@query("budget_spend_dims", BUDGET_DIMS_SQL)
+def budget_spend_dims(m):
+    """Each report spends in two dimensions: its kind of event, and one call."""
+    log = m.usage.join(m.budget_policy.select("budget_id", "hard_limit", "soft_limit"), "budget_id").select(
+        "budget_id", "seq", "now_ms", "dedup_key",
+        F.array("dim", F.lit("calls")).alias("dims"),
+        F.array("delta", F.lit(1).cast("long")).alias("deltas"),
+        F.array(F.floor(F.col("hard_limit") / 4), F.lit(CALLS_HARD).cast("long")).alias("hard"),
+        F.array(F.floor(F.col("soft_limit") / 4), F.lit(CALLS_SOFT).cast("long")).alias("soft"),
+    )
+    return folds.fold(log, "budget_id", ["now_ms", "seq"], folds.budget_dims_step(KNOWN_MS), folds.BUDGET_DIMS)
+
+
 LEDGER_LOG = "SELECT budget_id, execution_id, CASE WHEN seq % 10 = 9 THEN 'release' ELSE 'spend' END AS kind, delta, seq FROM usage"
 
 
@@ -102,6 +136,17 @@ def signal_delivery(m):
     return folds.fold(m.signal, "execution_id", ["created_at_ms", "signal_id"], signals.signal_step(THREE), signals.SIGNAL)
 
 
+@query(
+    "signal_first_of_any",
+    "SELECT execution_id, min(nth) AS resumed_by FROM (SELECT execution_id, signal_id, signal_name, row_number() OVER (PARTITION BY execution_id ORDER BY created_at_ms, signal_id) AS nth FROM signal) s WHERE signal_name IN ('error', 'signup') GROUP BY execution_id",
+)
+def signal_first_of_any(m):
+    """The simple condition "any of these names": how many deliveries it takes to resume."""
+    step = signals.signal_step({"mode": "any", "names": ["error", "signup"]})
+    rows = folds.fold(m.signal, "execution_id", ["created_at_ms", "signal_id"], step, signals.SIGNAL)
+    return rows.where("status = 'resumed'").select("execution_id", F.col("accepted").alias("resumed_by"))
+
+
 @query("signal_satisfiers", "SELECT execution_id, count(DISTINCT waitpoint_id) AS waitpoints, count(DISTINCT signal_id) AS signals, count(DISTINCT source_identity) AS sources, count(DISTINCT signal_name) AS names FROM signal GROUP BY execution_id")
 def signal_satisfiers(m):
     return windows.distinct_satisfiers(m.signal)

@@ -31,7 +31,7 @@ def claim_for_worker(m):
 
 @query("capability_match", f"SELECT e.execution_id, count(*) AS workers FROM exec_core e JOIN worker w ON e.lane_id = w.lane_id AND {FITS} WHERE {ELIGIBLE} GROUP BY e.execution_id")
 def capability_match(m):
-    return S.capable(S.eligible(m.exec_core), m.worker).groupBy("execution_id").agg(F.count(F.lit(1)).alias("workers"))
+    return S.capable_counts(S.eligible(m.exec_core), m.worker)
 
 
 @query("missing_capabilities", "SELECT execution_id, array_to_string(list_sort(list_filter(required_capabilities, lambda c: NOT list_contains(['gpu', 'eu'], c))), ',') AS missing FROM exec_core")

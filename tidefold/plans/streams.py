@@ -61,6 +61,20 @@ def stream_completions(m):
     return drained(m, outbox.subscribe(events, 100, "ns-1").select("event_id", "execution_id", "outcome", "committed_at_ms"))
 
 
+@query("stream_signal_deliveries", "SELECT signal_id, execution_id, waitpoint_id, signal_name, source_identity FROM signal WHERE signal_id > 100 AND signal_name <> 'view'")
+def stream_signal_deliveries(m):
+    """Signal deliveries after a cursor, of the names a subscriber asks for."""
+    rows = StreamModel(m.spark, m.sf_dir).signal.where("signal_name <> 'view'").withColumn("event_id", F.col("signal_id")).withColumn("namespace", F.lit(None).cast("string"))
+    return drained(m, outbox.subscribe(rows, 100).select("signal_id", "execution_id", "waitpoint_id", "signal_name", "source_identity"))
+
+
+@query("stream_lease_history", "SELECT event_id, execution_id, event, at_ms FROM lease_event WHERE event_id > 100 AND event <> 'acquired'")
+def stream_lease_history(m):
+    """How leases ended, after a cursor: an outbox of one row per change of a lease."""
+    rows = StreamModel(m.spark, m.sf_dir).lease_event.where("event <> 'acquired'").withColumn("namespace", F.lit(None).cast("string"))
+    return drained(m, outbox.subscribe(rows, 100).select("event_id", "execution_id", "event", "at_ms"))
+
+
 @query("stream_completion_edges", "SELECT c.event_id, e.edge_id, e.downstream_eid, c.outcome FROM completion c JOIN edge e ON c.execution_id = e.upstream_eid")
 def stream_completion_edges(m):
     """Completions as they come, each with the outgoing edges of a table: what a resolver works on."""

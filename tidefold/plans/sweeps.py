@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidefold.operators import scheduling as S
 from tidefold.operators import sweeps as W
+from tidefold.operators.reads import expired_leases
 from tidefold.plans.read_models import LATEST
 from tidefold.plans.registry import query
 from tidefold.sources.model import DAY, NOW
@@ -34,6 +35,26 @@ def due_deadline(m):
     return W.deadline(m.exec_core, NOW)
 
 
+#: Rows of one batch of a sweep.
+BATCH = 1000
+
+
+@query("due_deadline_batch", f"SELECT execution_id, deadline_at_ms FROM exec_core WHERE lifecycle_phase <> 'terminal' AND deadline_at_ms <= {NOW} ORDER BY deadline_at_ms, execution_id LIMIT {BATCH}")
+def due_deadline_batch(m):
+    return W.first_due(m.exec_core.where("lifecycle_phase <> 'terminal'"), "deadline_at_ms", NOW, BATCH).select("execution_id", "deadline_at_ms")
+
+
+@query("due_delayed_batch", f"SELECT execution_id, delay_until_ms FROM exec_core WHERE eligibility_state = 'not_eligible_until_time' AND delay_until_ms <= {NOW} ORDER BY delay_until_ms, execution_id LIMIT {BATCH}")
+def due_delayed_batch(m):
+    return W.first_due(m.exec_core.where("eligibility_state = 'not_eligible_until_time'"), "delay_until_ms", NOW, BATCH).select("execution_id", "delay_until_ms")
+
+
+@query("due_lease_expiry_batch", f"SELECT e.execution_id, a.lease_epoch, a.lease_expires_at_ms FROM exec_core e JOIN {LATEST} a ON e.execution_id = a.execution_id WHERE e.ownership_state = 'leased' AND e.lifecycle_phase = 'active' AND a.lease_expires_at_ms <= {NOW} ORDER BY a.lease_expires_at_ms, e.execution_id LIMIT {BATCH}")
+def due_lease_expiry_batch(m):
+    rows = expired_leases(m.exec_core.where("ownership_state = 'leased'"), m.attempt, NOW)
+    return W.first_due(rows, "lease_expires_at_ms", NOW, BATCH).select("execution_id", "lease_epoch", "lease_expires_at_ms")
+
+
 @query(
     "due_suspension",
     f"""SELECT execution_id, waitpoint_id, CASE timeout_behavior WHEN 'auto_resume_with_timeout_signal' THEN 'runnable' WHEN 'escalate' THEN 'suspended' ELSE 'terminal' END AS lifecycle_phase,
@@ -59,6 +80,11 @@ def due_budget_reset(m):
     return W.budget_reset(m.budget_policy, MARCH)
 
 
+@query("budget_breach_dims", "SELECT u.budget_id, dim, used, used > hard_limit // 4 AS hard_breached, used > soft_limit // 4 AS soft_breached FROM (SELECT budget_id, dim, sum(delta)::BIGINT AS used FROM usage GROUP BY budget_id, dim) u JOIN budget_policy p ON u.budget_id = p.budget_id")
+def budget_breach_dims(m):
+    return W.dim_breaches(m.budget_policy, m.usage, 4)
+
+
 @query("budget_breach_reconcile", "SELECT p.budget_id, coalesce(u.used, 0) AS used, coalesce(u.used, 0) > hard_limit AS hard_breached, coalesce(u.used, 0) > soft_limit AS soft_breached FROM budget_policy p LEFT JOIN (SELECT budget_id, sum(delta)::BIGINT AS used FROM usage GROUP BY budget_id) u ON p.budget_id = u.budget_id")
 def budget_breach_reconcile(m):
     return W.budget_breaches(m.budget_policy, m.usage)

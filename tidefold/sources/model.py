@@ -47,6 +47,9 @@ FROM (SELECT l_orderkey AS execution_id, CAST(l_linenumber - 1 AS INT) AS attemp
   max(MS(l_shipdate)) - 86400000 AS started_at_ms, max(MS(l_shipdate)) AS lease_expires_at_ms,
   CASE max(l_returnflag) WHEN 'A' THEN 'ended_success' WHEN 'R' THEN 'ended_failure' ELSE 'running' END AS outcome
   FROM {lineitem} GROUP BY l_orderkey, l_linenumber) a""",
+    "lease_event": """
+SELECT (l_orderkey * 8 + l_linenumber) * 2 AS event_id, l_orderkey AS execution_id, 'acquired' AS event, MS(l_shipdate) - 86400000 AS at_ms FROM {lineitem}
+UNION ALL SELECT (l_orderkey * 8 + l_linenumber) * 2 + 1, l_orderkey, CASE l_returnflag WHEN 'A' THEN 'released' WHEN 'R' THEN 'revoked' ELSE 'expired' END, MS(l_shipdate) FROM {lineitem}""",
     "edge": """
 SELECT downstream * 4 + k AS edge_id, flow_id, upstream AS upstream_eid, downstream AS downstream_eid
 FROM (SELECT o_custkey AS flow_id, o_orderkey AS downstream, 1 AS k, lag(o_orderkey, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS upstream FROM {orders}
