@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidefold.llm.common import doc_text, per_worker
+from tidefold.llm.words import slices
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -53,47 +54,48 @@ def parts_of(text: str, boundary: re.Pattern | None, least: int) -> list[str]:
     return [*parts, text[start:]]
 
 
-def count_tokens(docs: DataFrame, model: str, limit: int = 4096, split_chars: int = 8192, batch_chars: int = 1 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, model: str, limit: int = 4096, split_chars: int = 8192, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``.
 
     ``model`` is the path of a ``.model`` (sentencepiece) or ``.json`` (tokenizers) file that
-    every executor has.  At most ``batch_chars`` characters (or one part) are encoded at once.
+    every executor has.  At most ``batch_bytes`` bytes (or one part) are encoded at once.
     """
 
     def run(batches):
         count, boundary = per_worker(("counter", model), lambda: _counter(model))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            total = [0] * len(texts)
-            rows: list[int] = []
-            parts: list[str] = []
-            size = 0
-
-            def flush():
-                nonlocal size
-                for row, n in zip(rows, count(parts), strict=True):
-                    total[row] += n
-                rows.clear()
-                parts.clear()
+            for some in slices(batch, batch_bytes):
+                texts = some.column("text").to_pylist()
+                total = [0] * len(texts)
+                rows: list[int] = []
+                parts: list[str] = []
                 size = 0
 
-            for row, text in enumerate(texts):
-                for part in parts_of(text, boundary, split_chars):
-                    rows.append(row)
-                    parts.append(part)
-                    size += len(part)
-                    if size >= batch_chars:
-                        flush()
-            if parts:
-                flush()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array([len(t) if t.isascii() else len(t.encode()) for t in texts], pa.int64()),
-                    pa.array(total, pa.int64()),
-                    pa.array([n > limit for n in total], pa.bool_()),
-                ],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+                def flush():
+                    nonlocal size
+                    for row, n in zip(rows, count(parts), strict=True):
+                        total[row] += n
+                    rows.clear()
+                    parts.clear()
+                    size = 0
+
+                for row, text in enumerate(texts):
+                    for part in parts_of(text, boundary, split_chars):
+                        rows.append(row)
+                        parts.append(part)
+                        size += len(part) if part.isascii() else len(part.encode())
+                        if size >= batch_bytes:
+                            flush()
+                if parts:
+                    flush()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("doc_id").cast(pa.int64()),
+                        pa.array([len(t) if t.isascii() else len(t.encode()) for t in texts], pa.int64()),
+                        pa.array(total, pa.int64()),
+                        pa.array([n > limit for n in total], pa.bool_()),
+                    ],
+                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                )
 
     return doc_text(docs).mapInArrow(run, SCHEMA)
