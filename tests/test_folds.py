@@ -153,3 +153,21 @@ def test_key_partitions_are_crc32(spark):
     keys = ["lane-1", "", "\u00fc", None]
     got = [r["p"] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(hash_partition(F.col("k"), 256).alias("p")).collect()]
     assert got == [None if k is None else zlib.crc32(k.encode()) % 256 for k in keys]
+
+
+def test_fold_over_a_join_that_is_read_by_mappers(spark):
+    from pyspark.sql import functions as F
+
+    # the join asks for a shuffle by the key and becomes a broadcast at run time, so its shuffle is read by mapper
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        log = spark.range(0, 4000, 1, 4).select((F.col("id") % 5).alias("budget_id"), F.col("id").alias("seq"), F.col("id").alias("now_ms"), F.lit(1).cast("long").alias("delta"), F.lit(None).cast("string").alias("dedup_key"))
+        policy = spark.range(5).selectExpr("id AS budget_id", "100000L AS hard_limit", "100000L AS soft_limit").groupBy("budget_id").agg(F.max("hard_limit").alias("hard_limit"), F.max("soft_limit").alias("soft_limit"))
+        rows = folds.fold(log.join(policy, "budget_id"), "budget_id", ["now_ms", "seq"], folds.budget_step, folds.BUDGET).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {(r["seq"], r["used"]) for r in rows} == {(i, i // 5 + 1) for i in range(4000)}

@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidefold.operators.store import cut  # noqa: F401  used by callers of folds
@@ -50,7 +51,9 @@ def fold(log: DataFrame, key: str, order: list[str], step: Step, schema: str, fi
             out += finish(key_now, state)
         yield arrow_table(out, types)
 
-    return log.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, types)
+    # by a hash of the key: a shuffle by the key itself is dropped where a join below already has one,
+    # and that one may be read in other parts (by mapper, or a skewed key by pieces) at run time
+    return log.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(run, types)
 
 
 # --- budgets -----------------------------------------------------------------------------------
