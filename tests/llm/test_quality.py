@@ -54,3 +54,18 @@ def test_junk_goes_and_clean_documents_stay(spark):
     lab = spark.createDataFrame([(i, 1) for i in range(300)] + [(1000 + i, 0) for i in range(60)], "doc_id long, quality int")
     kept = {r["doc_id"] for r in quality.judge(df, lab).where("kept").collect()}
     assert kept == set(range(600))
+
+
+def test_every_label_counts(spark):
+    from pyspark.sql import functions as F
+
+    lab = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    checks = quality.checking(lab)
+    assert checks.count() + quality.labelled(lab, 1, False).count() == 60_000 and checks.count() > 10_000
+    # the threshold of all rows, as of arrays
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(2, 1, 9000), rng.normal(-1, 1, 5000)
+    rows = spark.createDataFrame([(float(x), True) for x in good] + [(float(x), False) for x in bad], "score double, good boolean")
+    assert quality.least_score(rows, 0.9995) == quality.threshold(good, bad, 0.9995)
+    assert quality.least_score(rows.where("NOT good"), 0.9995) == -np.inf
+    assert quality.least_score(rows.where("good"), 0.9995) == -np.inf
