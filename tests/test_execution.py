@@ -92,3 +92,22 @@ def test_blocking():
 
 def test_nothing_happens_before_creation():
     assert run(CLAIM)[1] == ["execution_not_found"]
+
+
+def test_last_states_and_counts_are_those_of_all_answers(spark):
+    from collections import Counter
+
+    from tidefold.operators import execution, folds
+    from tidefold.plans.folds import POLICY, command_log, execution_answers, execution_replay
+    from tidefold.sources.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    log = command_log(m)
+    assert not set(POLICY) & set(log.columns)  # what all commands share isn't shuffled with each
+    every = folds.fold(log, "execution_id", ["seq"], lambda s, c: execution.step(s, POLICY | c), execution.RESULT).collect()
+    assert {(r["kind"], r["status"]): r["commands"] for r in execution_answers(m).collect()} == Counter((r["kind"], r["status"]) for r in every)
+    final = {r["execution_id"]: r for r in sorted(every, key=lambda r: r["seq"])}
+    assert {r["execution_id"]: tuple(r)[1:] for r in execution_replay(m).collect()} == {k: (r["public_state"], r["attempt_index"] + 1, r["retry_count"]) for k, r in final.items()}
+    # a log that nothing creates ends in nulls
+    lost = log.where("execution_id = 1 AND kind <> 'create'")
+    assert {tuple(r) for r in folds.fold(lost, "execution_id", ["seq"], execution.last_step(POLICY), execution.LAST, execution.last).collect()} == {(1, None, None, None)}

@@ -7,6 +7,8 @@ error code.  ``vector`` sets of each transition are listed together in ``VECTORS
 
 from __future__ import annotations
 
+from collections import Counter
+
 PARTS = ("lifecycle_phase", "ownership_state", "eligibility_state", "blocking_reason", "terminal_outcome", "attempt_state", "public_state")
 #: New vectors, in the order of PARTS; None keeps a part (fixed values).
 VECTORS = {
@@ -43,16 +45,20 @@ def need(ok: bool, code: str) -> None:
         raise Refused(code)
 
 
+#: What each of VECTORS changes.
+CHANGES = {name: {p: v for p, v in zip(PARTS, vector, strict=True) if v is not None} for name, vector in VECTORS.items()}
+
+
 def become(s: dict, name: str, **more) -> None:
-    s.update({p: v for p, v in zip(PARTS, VECTORS[name], strict=True) if v is not None})
+    s.update(CHANGES[name])
     s.update(more)
 
 
 def leased(s: dict, c: dict, override: bool = False) -> None:
     """Fencing: all of the lease's id, epoch and attempt must be named and match, and it must run."""
-    given = [c.get(k) is not None for k in ("lease_id", "lease_epoch", "attempt_index")]
-    need(all(given) or not any(given), "partial_fence_triple")
-    if not any(given):
+    given = (c.get("lease_id") is not None) + (c.get("lease_epoch") is not None) + (c.get("attempt_index") is not None)
+    need(given in (0, 3), "partial_fence_triple")
+    if not given:
         need(override and c.get("source") == "operator_override", "fence_required")
         return
     need(s["lifecycle_phase"] == "active", "execution_not_active")
@@ -69,11 +75,14 @@ def take(s: dict, c: dict) -> None:
     s.update(lease_id=c.get("lease_id"), lease_epoch=s["lease_epoch"] + 1, lease_expires_at=c["now_ms"] + (c.get("ttl_ms") or 30_000), worker_id=c.get("worker_id"))
 
 
+NEW = dict.fromkeys(("lease_id", "worker_id", "lease_expires_at", "delay_until", "suspension_id", "timeout_at", "timeout_behavior", "started_at", "terminal_at", "reason"))
+NEW |= {"attempt_index": -1, "attempts": 0, "attempt_type": None, "lease_epoch": 0, "retry_count": 0, "reclaim_count": 0, "replay_count": 0, "unsatisfied": 0, "impossible": 0, "priority": 0, "created_at": None}
+NEW |= dict.fromkeys(PARTS, "")
+
+
 def create(c: dict) -> dict:
-    s = dict.fromkeys(("lease_id", "worker_id", "lease_expires_at", "delay_until", "suspension_id", "timeout_at", "timeout_behavior", "started_at", "terminal_at", "reason"))
-    s |= {"attempt_index": -1, "attempts": 0, "attempt_type": None, "lease_epoch": 0, "retry_count": 0, "reclaim_count": 0, "replay_count": 0, "unsatisfied": 0, "impossible": 0, "priority": max(0, min(MAX_PRIORITY, c.get("priority") or 0)), "created_at": c["now_ms"]}
+    s = NEW | {"priority": max(0, min(MAX_PRIORITY, c.get("priority") or 0)), "created_at": c["now_ms"]}
     until = c.get("delay_until")
-    s |= dict(zip(PARTS, ("",) * 7, strict=True))
     become(s, "delayed" if until and until > c["now_ms"] else "eligible", attempt_state="pending_first_attempt", delay_until=until)
     return s
 
@@ -264,8 +273,8 @@ COMMANDS = {
 RESULT = "execution_id long, seq long, kind string, status string, lifecycle_phase string, ownership_state string, eligibility_state string, blocking_reason string, terminal_outcome string, attempt_state string, public_state string, attempt_index int, lease_epoch long, retry_count int, replay_count int, reclaim_count int, priority int"
 
 
-def step(state: dict | None, c: dict) -> tuple[dict | None, list[dict]]:
-    """One command; the answer names it, its status (ok, duplicate or an error code) and the vector."""
+def answer(state: dict | None, c: dict) -> tuple[dict | None, str]:
+    """One command: the state after it and its status (ok, duplicate or an error code)."""
     kind = c["kind"]
     status = "ok"
     if kind == "create":
@@ -280,5 +289,43 @@ def step(state: dict | None, c: dict) -> tuple[dict | None, list[dict]]:
             COMMANDS[kind](state, c)
         except Refused as e:
             status = str(e)
-    row = {"execution_id": c["execution_id"], "seq": c["seq"], "kind": kind, "status": status}
+    return state, status
+
+
+def step(state: dict | None, c: dict) -> tuple[dict | None, list[dict]]:
+    """One command; the answer names it, its status and the vector."""
+    state, status = answer(state, c)
+    row = {"execution_id": c["execution_id"], "seq": c["seq"], "kind": c["kind"], "status": status}
     return state, [row | {k: (state or {}).get(k) for k in (*PARTS, "attempt_index", "lease_epoch", "retry_count", "replay_count", "reclaim_count", "priority")}]
+
+
+def last_step(policy: dict):
+    """A step that answers nothing, for logs whose commands share ``policy``; see ``last``."""
+    return lambda state, c: (answer(state, policy | c)[0], [])
+
+
+LAST = "execution_id long, public_state string, attempt_index int, retry_count int"
+
+
+def last(key, state: dict | None) -> list[dict]:
+    """What an execution's log ends in; nulls if none of its commands created it."""
+    s = state or {}
+    return [{"execution_id": key, **{k: s.get(k) for k in ("public_state", "attempt_index", "retry_count")}}]
+
+
+def status_step(policy: dict):
+    """A step that answers kind and status only; see ``count_answers``."""
+
+    def run(state, c):
+        state, status = answer(state, policy | c)
+        return state, [{"kind": c["kind"], "status": status}]
+
+    return run
+
+
+ANSWERS = "kind string, status string, commands long"
+
+
+def count_answers(rows: list[dict]) -> list[dict]:
+    counts = Counter((r["kind"], r["status"]) for r in rows)
+    return [{"kind": kind, "status": status, "commands": n} for (kind, status), n in counts.items()]

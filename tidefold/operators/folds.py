@@ -30,14 +30,29 @@ def arrow_table(rows: list[dict], schema: StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
 
 
-def fold(log: DataFrame, key: str, order: list[str], step: Step, schema: str, finish: Callable[[object, object], list[dict]] | None = None, chunk: int = 8192) -> DataFrame:
-    """Rows that ``step`` gives, and after a key's last command those of ``finish(key, state)``."""
+def plain(column: pa.Array) -> list:
+    """``to_pylist``, by way of arrays where that is the same and faster."""
+    if pa.types.is_integer(column.type) or pa.types.is_string(column.type):
+        return column.to_pandas(integer_object_nulls=True).tolist()
+    return column.to_pylist()
+
+
+def commands(batch: pa.RecordBatch) -> list[dict]:
+    names = batch.schema.names
+    return [dict(zip(names, row, strict=True)) for row in zip(*map(plain, batch.columns), strict=True)]
+
+
+def fold(log: DataFrame, key: str, order: list[str], step: Step, schema: str, finish: Callable[[object, object], list[dict]] | None = None, pack: Callable[[list[dict]], list[dict]] | None = None, chunk: int = 8192) -> DataFrame:
+    """Rows that ``step`` gives, and after a key's last command those of ``finish(key, state)``.
+
+    ``pack`` makes fewer rows of about ``chunk`` rows before they leave the task."""
     types = StructType.fromDDL(schema)
+    pack = pack or (lambda rows: rows)
 
     def run(batches):
         key_now, state, started, out = None, None, False, []
         for batch in batches:
-            for command in batch.to_pylist():
+            for command in commands(batch):
                 if not started or command[key] != key_now:
                     if started and finish:
                         out += finish(key_now, state)
@@ -45,11 +60,11 @@ def fold(log: DataFrame, key: str, order: list[str], step: Step, schema: str, fi
                 state, rows = step(state, command)
                 out += rows
                 if len(out) >= chunk:
-                    yield arrow_table(out, types)
+                    yield arrow_table(pack(out), types)
                     out = []
         if started and finish:
             out += finish(key_now, state)
-        yield arrow_table(out, types)
+        yield arrow_table(pack(out), types)
 
     # by a hash of the key: a shuffle by the key itself is dropped where a join below already has one,
     # and that one may be read in other parts (by mapper, or a skewed key by pieces) at run time

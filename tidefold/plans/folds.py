@@ -252,14 +252,16 @@ def waitpoint_tokens(m):
 
 # --- executions --------------------------------------------------------------------------------
 
-#: Per execution: create, then per attempt a claim and its end (done, failed with two retries, or
-#: an expired lease that is reclaimed at once), and the promotion of a retry that waits.
+#: Per execution: create, then per attempt the promotion of a retry that waits, a claim and its end
+#: (done, failed with two retries, or an expired lease that is reclaimed at once).
 COMMANDS = """
-SELECT execution_id, seq, kind, now_ms, lease_id, epoch_of AS lease_epoch, index_of AS attempt_index, 'fixed' AS backoff, 1000 AS backoff_ms, 2 AS max_retries, 10 AS ttl_ms, 5000 AS priority FROM (
-  SELECT execution_id, CAST(0 AS BIGINT) AS seq, 'create' AS kind, created_at_ms AS now_ms, CAST(NULL AS STRING) AS lease_id, CAST(NULL AS BIGINT) AS epoch_of, CAST(NULL AS INT) AS index_of FROM exec_core
-  UNION ALL SELECT execution_id, 10 * lease_epoch + 1, 'promote', n * 10000, NULL, NULL, NULL FROM turns
-  UNION ALL SELECT execution_id, 10 * lease_epoch + 2, 'claim', n * 10000 + 1, 'l' || CAST(lease_epoch AS STRING), NULL, NULL FROM turns
-  UNION ALL SELECT execution_id, 10 * lease_epoch + 3, CASE outcome WHEN 'ended_success' THEN 'complete' WHEN 'ended_failure' THEN 'fail' ELSE 'expire' END, n * 10000 + 2, CASE WHEN outcome <> 'running' THEN 'l' || CAST(lease_epoch AS STRING) END, CASE WHEN outcome <> 'running' THEN n END, CASE WHEN outcome <> 'running' THEN CAST(n - 1 AS INT) END FROM turns) c"""
+SELECT execution_id, CAST(0 AS BIGINT) AS seq, 'create' AS kind, CAST(0 AS BIGINT) AS now_ms, CAST(NULL AS STRING) AS lease_id, CAST(NULL AS BIGINT) AS lease_epoch, CAST(NULL AS INT) AS attempt_index FROM {exec_core}
+UNION ALL SELECT execution_id, inline(array(
+  struct(10 * lease_epoch + 1, 'promote', CAST(n * 10000 AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS INT)),
+  struct(10 * lease_epoch + 2, 'claim', CAST(n * 10000 + 1 AS BIGINT), 'l' || CAST(lease_epoch AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS INT)),
+  struct(10 * lease_epoch + 3, CASE outcome WHEN 'ended_success' THEN 'complete' WHEN 'ended_failure' THEN 'fail' ELSE 'expire' END, CAST(n * 10000 + 2 AS BIGINT), CASE WHEN outcome <> 'running' THEN 'l' || CAST(lease_epoch AS STRING) END, CASE WHEN outcome <> 'running' THEN CAST(n AS BIGINT) END, CASE WHEN outcome <> 'running' THEN CAST(n - 1 AS INT) END))) FROM {turns}"""
+#: What all of these commands have in common.
+POLICY = {"backoff": "fixed", "backoff_ms": 1000, "max_retries": 2, "ttl_ms": 10, "priority": 5000}
 TURNS = "SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY attempt_index) AS n FROM attempt"
 
 REPLAY_SQL = f"""WITH turns AS ({TURNS}), ended AS (
@@ -274,19 +276,17 @@ LEFT JOIN (SELECT execution_id, max(n) AS n, max(failures) AS failures FROM ende
 def command_log(m):
     """The command log; an execution's attempts come at 10000, 20000, ... of a clock of its own."""
     turns = m.spark.sql(TURNS.replace("FROM attempt", "FROM {attempt}"), attempt=m.attempt)
-    text = COMMANDS.replace("FROM exec_core", "FROM {exec_core}").replace("FROM turns", "FROM {turns}").replace("created_at_ms AS now_ms", "CAST(0 AS BIGINT) AS now_ms")
-    return m.spark.sql(text, exec_core=m.exec_core, turns=turns)
+    return m.spark.sql(COMMANDS, exec_core=m.exec_core, turns=turns)
 
 
 @query("execution_replay", REPLAY_SQL)
 def execution_replay(m):
-    rows = folds.fold(command_log(m), "execution_id", ["seq"], execution.step, execution.RESULT)
-    final = rows.groupBy("execution_id").agg(F.max_by(F.struct("public_state", "attempt_index", "retry_count"), "seq").alias("s"))
-    return final.select("execution_id", "s.public_state", (F.col("s.attempt_index") + 1).cast("long").alias("attempts"), "s.retry_count")
+    final = folds.fold(command_log(m), "execution_id", ["seq"], execution.last_step(POLICY), execution.LAST, execution.last)
+    return final.select("execution_id", "public_state", (F.col("attempt_index") + 1).cast("long").alias("attempts"), "retry_count")
 
 
 @query("execution_answers")
 def execution_answers(m):
     """How each kind of command was answered over the whole log; tests hold the fold to examples."""
-    rows = folds.fold(command_log(m), "execution_id", ["seq"], execution.step, execution.RESULT)
-    return rows.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("commands"))
+    rows = folds.fold(command_log(m), "execution_id", ["seq"], execution.status_step(POLICY), execution.ANSWERS, pack=execution.count_answers)
+    return rows.groupBy("kind", "status").agg(F.sum("commands").alias("commands"))
