@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Deepest cascade that one sweep follows, and most nodes that one cycle check visits (fixed values).
@@ -78,59 +78,82 @@ def skip_cascade(edge: DataFrame, policy: DataFrame, outcome: DataFrame, depth:
     """Executions that end skipped because their edge group can't be satisfied, to the fixed point,
     or for ``depth`` rounds: then what lies deeper is left for the next call.
 
-    Each round decides only groups downstream of nodes skipped in the round before.  It writes only
-    the newly skipped to the shared checkpoint folder (and now and then all of them as one), so
-    neither the plan nor what is written grows with the table."""
-    from tidefold.operators.store import cut
-
-    state = outcome.select("execution_id", "terminal_outcome")
-    known, edges, skipped = state, edge, None
-    for level in itertools.count(1) if depth is None else range(1, depth + 1):
-        doomed = decisions(edges, policy, known).where("state = 'impossible'").select(F.col("downstream_eid").alias("execution_id"))
-        new = cut(doomed.join(known.where("terminal_outcome = 'none'"), "execution_id", "left_semi").withColumn("level", F.lit(level)))
-        skipped = new if skipped is None else skipped.unionByName(new)
+    The groups of executions that haven't ended are counted once, and once the edges between such
+    executions are found, the only ones that pass a skip on.  A round reads the edges below nodes
+    skipped in the round before and writes what these add to their groups; a group is in the round's
+    result when that makes it impossible."""
+    from tidefold.operators.store import stored
+
+    waits = outcome.where("terminal_outcome = 'none'").select("execution_id").distinct()
+    groups = decisions(edge, policy, outcome).join(waits.select(F.col("execution_id").alias("downstream_eid")), "downstream_eid", "left_semi")
+    need = F.when(F.col("kind") == "all_of", F.col("n")).when(F.col("kind") == "any_of", F.lit(1)).otherwise(F.col("k"))
+    # spare: how many more bad upstreams a group bears
+    groups = stored(groups.where("state <> 'satisfied'").select("flow_id", "downstream_eid", "state", (F.col("n") - need - F.col("fail") - F.col("skip")).alias("spare")))
+    pending = groups.where("state = 'pending'")
+    passing = edge.select("flow_id", "upstream_eid", "downstream_eid").join(waits.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi")
+    # a group of several policies has several rows, each edge then counts for each of them
+    of = pending.select(F.col("flow_id").alias("of_flow"), F.col("downstream_eid").alias("of_eid"), "spare").distinct()
+    passing = stored(passing.join(of, F.col("flow_id").eqNullSafe(F.col("of_flow")) & (F.col("downstream_eid") == F.col("of_eid"))).drop("of_flow", "of_eid"))
+
+    def at(rows, level):
+        return stored(rows.select(F.col("downstream_eid").alias("execution_id"), F.lit(level).alias("level")).distinct())
+
+    new = at(groups.where("state = 'impossible'"), 1)
+    skipped, hurt = new, None
+    for level in itertools.count(2) if depth is None else range(2, depth + 1):
         if new.isEmpty():
             break
+        keys = ["flow_id", "downstream_eid", "spare"]
+        more = passing.join(new.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("bad"))
+        if hurt is not None:
+            more = more.unionByName(hurt).groupBy(*keys).agg(F.sum("bad").alias("bad"))
+        hurt = stored(more)
+        # what is skipped for good leaves; a node of several groups is skipped once
+        doomed = hurt.where("bad > spare")
+        new = at(doomed.join(skipped.select(F.col("execution_id").alias("downstream_eid")), "downstream_eid", "left_anti"), level)
+        hurt = hurt.where("bad <= spare OR spare IS NULL")
+        skipped = skipped.unionByName(new)
         if level % 8 == 0:
-            skipped = cut(skipped)
-        known = state.join(skipped.select("execution_id", F.lit("skipped").alias("now")), "execution_id", "left").select("execution_id", F.coalesce("now", "terminal_outcome").alias("terminal_outcome"))
-        below = edge.join(new.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi").select("downstream_eid").distinct()
-        edges = edge.join(below, "downstream_eid", "left_semi")
+            skipped = stored(skipped)
     return skipped
 
 
 def levels(edge: DataFrame) -> DataFrame:
     """Longest distance of each node from a root, by Kahn's algorithm: a round settles the nodes all
-    of whose upstreams are settled, and writes only these.  Nodes on a cycle that a root reaches, or
-    beyond it, have no longest distance and are left out; what no root reaches counts for nothing."""
-    from tidefold.operators.store import cut
+    of whose upstreams are settled, and writes only these and the nodes that still miss some.  Each
+    edge carries how many its downstream has.  Nodes on a cycle that a root reaches, or beyond it,
+    have no longest distance and are left out; what no root reaches counts for nothing."""
+    from tidefold.operators.store import stored
 
     steps = edge.select("upstream_eid", "downstream_eid").where("upstream_eid IS NOT NULL AND downstream_eid IS NOT NULL")
-    roots = cut(steps.select("upstream_eid").distinct().join(steps.select(F.col("downstream_eid").alias("upstream_eid")).distinct(), "upstream_eid", "left_anti"))
+    roots = stored(steps.select("upstream_eid").distinct().join(steps.select(F.col("downstream_eid").alias("upstream_eid")).distinct(), "upstream_eid", "left_anti").select(F.col("upstream_eid").alias("execution_id"), F.lit(0).alias("level")))
 
-    def rounds(ready):
-        at = cut(roots.select(F.col("upstream_eid").alias("execution_id"), F.lit(0).alias("level")))
-        done, level = at, 0
+    def settled(steps):
+        counted = stored(steps.join(steps.groupBy("downstream_eid").agg(F.count(F.lit(1)).alias("n")), "downstream_eid"))
+        at, done, missing, level = roots, roots, None, 0
         while not at.isEmpty():
             level += 1
-            below = at.select(F.col("execution_id").alias("upstream_eid")).join(steps, "upstream_eid").select("downstream_eid").distinct()
-            at = cut(ready(below, done).select(F.col("downstream_eid").alias("execution_id"), F.lit(level).alias("level")))
+            found = at.select(F.col("execution_id").alias("upstream_eid")).join(counted, "upstream_eid").groupBy("downstream_eid", "n").agg(F.count(F.lit(1)).alias("got"))
+            if missing is not None:
+                found = found.unionByName(missing).groupBy("downstream_eid", "n").agg(F.sum("got").alias("got"))
+            found = stored(found)
+            at = found.where("got = n").select(F.col("downstream_eid").alias("execution_id"), F.lit(level).alias("level"))
+            missing = found.where("got < n")
             done = done.unionByName(at)
             if level % 8 == 0:
-                done = cut(done)
-        return done
-
-    def settled(below, done):
-        open_ = steps.join(below, "downstream_eid", "left_semi").join(done.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_anti")
-        return below.join(open_, "downstream_eid", "left_anti")
+                done = stored(done)
+        return stored(done)
 
-    done = cut(rounds(settled))
+    done = settled(steps)
     if steps.join(done.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_anti").isEmpty():
         return done
     # a cycle: edges from nodes that no root reaches hold nothing back
-    reached = rounds(lambda below, done: below.join(done.select(F.col("execution_id").alias("downstream_eid")), "downstream_eid", "left_anti"))
-    steps = cut(steps.join(reached.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi"))
-    return rounds(settled)
+    at = reached = roots.select("execution_id")
+    while not at.isEmpty():
+        below = at.select(F.col("execution_id").alias("upstream_eid")).join(steps, "upstream_eid").select(F.col("downstream_eid").alias("execution_id")).distinct()
+        at = stored(below.join(reached, "execution_id", "left_anti"))
+        reached = stored(reached.unionByName(at))
+    return settled(stored(steps.join(reached.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi")))
 
 
 def would_cycle(edge: DataFrame, candidates: DataFrame, most: int = MAX_VISITED) -> DataFrame:
@@ -140,24 +163,29 @@ def would_cycle(edge: DataFrame, candidates: DataFrame, most: int = MAX_VISITED)
 
     All candidates walk at once, and each leaves the walk once it has its answer or has passed the
     bound, so what is kept of one is bounded by ``most`` nodes and the neighbours of the last ones.
-    A round writes only the nodes that are new in it."""
-    from tidefold.operators.store import cut
+    A round writes only the nodes that are new in it, each with its walk's count and whether that
+    has met its goal, so walks that ended are told without a join."""
+    from tidefold.operators.store import stored
 
     steps = edge.select(F.col("upstream_eid").alias("node"), F.col("downstream_eid").alias("next"))
-    front = cut(candidates.select("edge_id", F.col("upstream_eid").alias("goal"), F.col("downstream_eid").alias("node")))
-    seen, rejected, level = front, None, 0
+    walk = Window.partitionBy("edge_id")
+
+    def reached(rows):
+        ended = F.coalesce(F.max(F.col("node") == F.col("goal")).over(walk), F.lit(False)) | (F.col("visited") > most)
+        return stored(rows.withColumn("visited", F.col("visited") + F.count(F.lit(1)).over(walk)).withColumn("ended", ended))
+
+    front = reached(candidates.select("edge_id", F.col("upstream_eid").alias("goal"), F.col("downstream_eid").alias("node"), F.lit(0).cast("long").alias("visited")))
+    seen, rejected, level = front.select("edge_id", "node"), None, 0
     while not front.isEmpty():
         level += 1
-        hit = front.where("node = goal").select("edge_id")
-        over = seen.groupBy("edge_id").agg(F.count(F.lit(1)).alias("visited")).where(F.col("visited") > most).select("edge_id")
-        settled = cut(hit.unionByName(over).distinct())
-        rejected = settled if rejected is None else rejected.unionByName(settled)
-        seen = seen.join(settled, "edge_id", "left_anti")
-        near = front.join(settled, "edge_id", "left_anti").join(steps, "node").select("edge_id", "goal", F.col("next").alias("node")).distinct()
-        front = cut(near.join(seen.select("edge_id", "node"), ["edge_id", "node"], "left_anti").select("edge_id", "goal", "node"))
-        seen = seen.unionByName(front)
+        ended = front.where("ended").select("edge_id")
+        rejected = ended if rejected is None else rejected.unionByName(ended)
+        on = front.where("NOT ended")
+        near = on.join(steps, "node").select("edge_id", "goal", F.col("next").alias("node"), "visited").distinct()
+        front = reached(near.join(seen, ["edge_id", "node"], "left_anti").select("edge_id", "goal", "node", "visited"))
+        seen = seen.unionByName(front.select("edge_id", "node"))
         if level % 4 == 0:
-            seen, rejected = cut(seen), cut(rejected)
+            seen, rejected = stored(seen.join(front.select("edge_id").distinct(), "edge_id", "left_semi")), stored(rejected.distinct())
     return candidates.where("false").select("edge_id", "upstream_eid", "downstream_eid") if rejected is None else candidates.join(rejected, "edge_id", "left_semi").select("edge_id", "upstream_eid", "downstream_eid")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once; its lineage ends in ``shared_dir``, so lost executors don't matter."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a Parquet table: its true size is known to Spark, which then joins a small
+    one without moving the other side."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidefold-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

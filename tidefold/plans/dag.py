@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidefold.operators import dag as D
-from tidefold.operators.store import cut
+from tidefold.operators.store import stored
 from tidefold.plans.registry import query
 
 BAD = "terminal_outcome IN ('failed', 'cancelled', 'expired')"
@@ -51,8 +51,8 @@ def flow_eligibility(m):
 
 
 def derived_once(m, policy):
-    """Rounds read these tables again and again; here they are derived, so they are written once."""
-    return cut(m.edge), cut(policy.select("downstream_eid", "kind", "k", "on_satisfied")), cut(m.exec_core.select("execution_id", "terminal_outcome"))
+    """The edges are read again and again; here they are derived, so they are written once."""
+    return stored(m.edge), policy.select("downstream_eid", "kind", "k", "on_satisfied"), m.exec_core.select("execution_id", "terminal_outcome")
 
 
 #: Only all_of groups, where one bad upstream is enough, so plain reachability is the oracle.
@@ -77,7 +77,7 @@ def skip_cascade_mixed(m):
     "WITH RECURSIVE l(execution_id, level) AS (SELECT DISTINCT upstream_eid, 0 FROM edge WHERE upstream_eid NOT IN (SELECT downstream_eid FROM edge) UNION SELECT e.downstream_eid, l.level + 1 FROM l JOIN edge e ON e.upstream_eid = l.execution_id) SELECT execution_id, CAST(max(level) AS INT) AS level FROM l GROUP BY execution_id",
 )
 def topo_levels(m):
-    return D.levels(cut(m.edge))
+    return D.levels(stored(m.edge))
 
 
 #: Every seventh edge reversed, as candidates: all close a cycle; so do self loops.
@@ -90,7 +90,7 @@ CANDIDATES = "SELECT edge_id, downstream_eid AS upstream_eid, upstream_eid AS do
 SELECT DISTINCT c.edge_id, c.upstream_eid, c.downstream_eid FROM c JOIN w ON c.edge_id = w.edge_id AND c.upstream_eid = w.node""",
 )
 def cycle_check(m):
-    edge = cut(m.edge)
+    edge = stored(m.edge)
     back = edge.where("edge_id % 7 = 0").select("edge_id", F.col("downstream_eid").alias("upstream_eid"), F.col("upstream_eid").alias("downstream_eid"))
     forth = edge.where("edge_id % 7 = 1").select((-F.col("edge_id")).alias("edge_id"), "upstream_eid", "downstream_eid")
     return D.would_cycle(edge, back.unionByName(forth))

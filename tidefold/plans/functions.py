@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidefold.functions import exprs as E
 from tidefold.operators import dag as D
-from tidefold.operators.store import cut
+from tidefold.operators.store import stored
 from tidefold.plans.dag import CANDIDATES
 from tidefold.plans.registry import query
 
@@ -79,7 +79,7 @@ SELECT c.edge_id, c.upstream_eid, c.downstream_eid, CASE WHEN c.upstream_eid = c
 FROM c LEFT JOIN exec_core x ON c.downstream_eid = x.execution_id LEFT JOIN (SELECT DISTINCT upstream_eid, downstream_eid FROM edge) e ON e.upstream_eid = c.upstream_eid AND e.downstream_eid = c.downstream_eid LEFT JOIN cyc y ON y.edge_id = c.edge_id""",
 )
 def stage_edges(m):
-    edge = cut(m.edge)
+    edge = stored(m.edge)
     staged = m.spark.sql(STAGED.replace("FROM edge", "FROM {edge}"), edge=edge)
     return D.staged(edge, staged, m.exec_core)
 
