@@ -43,3 +43,64 @@ def test_skip_cascade_beyond_fifty_levels(spark):
     outcome = spark.createDataFrame([(i, "none" if i else "failed") for i in range(56)], "execution_id long, terminal_outcome string")
     assert sorted((r["execution_id"], r["level"]) for r in dag.skip_cascade(edge, policy, outcome).collect()) == [(i, i) for i in range(1, 56)]
     assert dag.skip_cascade(edge, policy, outcome, 3).count() == 3
+
+
+def moved(spark, run):
+    """Rows that all shuffles of ``run`` wrote."""
+    sc = spark.sparkContext
+
+    def total():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    run()
+    return sum(n for stage, n in total().items() if stage not in before)
+
+
+def test_rounds_move_new_rows_only(spark):
+    chain = [(i, i + 1) for i in range(12)]
+    edge = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate(chain)], "flow_id long, edge_id long, upstream_eid long, downstream_eid long")
+    policy = edge.selectExpr("downstream_eid", "'all_of' AS kind", "1 AS k", "'let_run' AS on_satisfied")
+    outcome = spark.range(13).selectExpr("id AS execution_id", "IF(id = 0, 'failed', 'none') AS terminal_outcome")
+    # twelve rounds over twelve edges: 144 rows for each shuffle of all edges in each round
+    assert moved(spark, lambda: dag.levels(edge).collect()) < 300
+    assert moved(spark, lambda: dag.skip_cascade(edge, policy, outcome).collect()) < 300
+    assert moved(spark, lambda: dag.would_cycle(edge, edge.where("edge_id = 0").selectExpr("-1L AS edge_id", "999L AS upstream_eid", "downstream_eid")).collect()) < 300
+
+
+def test_cascades_and_cycles_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(150)})
+    flow = {b: rng.choice([1, 2, None]) for _, b in edges}
+    policy = {b: (rng.choice(["all_of", "any_of", "quorum"]), 2) for _, b in edges}
+    outcome = {i: rng.choice(["none"] * 5 + ["success", "failed", "skipped"]) for i in range(60)}
+    edge = spark.createDataFrame([(flow[b], i, a, b) for i, (a, b) in enumerate(edges)], "flow_id long, edge_id long, upstream_eid long, downstream_eid long")
+    rules = spark.createDataFrame([(b, kind, k, "let_run") for b, (kind, k) in policy.items()], "downstream_eid long, kind string, k int, on_satisfied string")
+    ends = spark.createDataFrame(list(outcome.items()), "execution_id long, terminal_outcome string")
+    want, now, level = {}, dict(outcome), 0
+    while True:
+        level += 1
+        new = []
+        for b, (kind, k) in policy.items():
+            ups = [now[a] for a, c in edges if c == b]
+            need = {"all_of": len(ups), "any_of": 1}.get(kind, k)
+            bad = sum(u in ("failed", "cancelled", "expired", "skipped") for u in ups)
+            if now[b] == "none" and ups.count("success") < need and bad > len(ups) - need:
+                new.append(b)
+        if not new:
+            break
+        want |= dict.fromkeys(new, level)
+        now |= dict.fromkeys(new, "skipped")
+    assert max(want.values()) > 1
+    assert sorted((r["execution_id"], r["level"]) for r in dag.skip_cascade(edge, rules, ends).collect()) == sorted(want.items())
+
+    loops = [*edges, *[(b, a) for a, b in edges[::9]]]
+    below = {i: {i} for i in range(60)}
+    for _ in range(60):
+        below = {i: s.union(*[below[b] for a, b in loops if a in s]) for i, s in below.items()}
+    tried = [(rng.randrange(60), rng.randrange(60)) for _ in range(80)]
+    assert rejected(spark, loops, tried) == [i for i, (a, b) in enumerate(tried) if a in below[b]]
+    assert rejected(spark, loops, tried, most=5) == [i for i, (a, b) in enumerate(tried) if a in below[b] or len(below[b]) > 5]
