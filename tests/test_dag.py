@@ -104,3 +104,29 @@ def test_cascades_and_cycles_against_brute_force(spark):
     tried = [(rng.randrange(60), rng.randrange(60)) for _ in range(80)]
     assert rejected(spark, loops, tried) == [i for i, (a, b) in enumerate(tried) if a in below[b]]
     assert rejected(spark, loops, tried, most=5) == [i for i, (a, b) in enumerate(tried) if a in below[b] or len(below[b]) > 5]
+
+
+def test_rounds_leave_the_edges_where_they_are(spark):
+    # a chain of six, and 2000 edges that no skip reaches: nothing is small enough to be broadcast
+    pairs = [(i, i + 1) for i in range(6)] + [(1000 + i, 2000 + i) for i in range(2000)]
+    edge = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate(pairs)], "flow_id long, edge_id long, upstream_eid long, downstream_eid long")
+    ends = spark.createDataFrame([(i, "none" if i else "failed") for i in sorted({x for p in pairs for x in p})], "execution_id long, terminal_outcome string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        for kind in ("all_of",):
+            policy = edge.selectExpr("downstream_eid", f"'{kind}' AS kind", "1 AS k", "'let_run' AS on_satisfied")
+            found = []
+            assert moved(spark, lambda policy=policy, found=found: found.extend(dag.skip_cascade(edge, policy, ends).collect())) < 25000
+            assert sorted((r["execution_id"], r["level"]) for r in found) == [(i, i) for i in range(1, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_cascades_of_groups_with_several_policies(spark):
+    edge = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 2, 3), (2, 3, 2, 3), (1, 4, 3, 4), (1, 5, 3, 4), (1, 6, 9, 4), (1, 7, 4, 5)], "flow_id long, edge_id long, upstream_eid long, downstream_eid long")
+    rules = [(3, "quorum", 3), (3, "any_of", 1), (3, "quorum", 1), (4, "quorum", 2), (4, "all_of", 1), (4, "all_of", 7), (5, "quorum", None), (5, "any_of", None)]
+    policy = spark.createDataFrame([(d, kind, k, "let_run") for d, kind, k in rules], "downstream_eid long, kind string, k int, on_satisfied string")
+    outcome = spark.createDataFrame([(i, "none") for i in range(1, 6)] + [(9, None)], "execution_id long, terminal_outcome string")
+    # three of two edges can never be had, so 3 is skipped without a bad upstream
+    assert sorted((r["execution_id"], r["level"]) for r in dag.skip_cascade(edge, policy, outcome).collect()) == [(3, 1), (4, 2), (5, 3)]

@@ -78,40 +78,48 @@ def skip_cascade(edge: DataFrame, policy: DataFrame, outcome: DataFrame, depth:
     """Executions that end skipped because their edge group can't be satisfied, to the fixed point,
     or for ``depth`` rounds: then what lies deeper is left for the next call.
 
-    The groups of executions that haven't ended are counted once, and once the edges between such
-    executions are found, the only ones that pass a skip on.  A round reads the edges below nodes
-    skipped in the round before and writes what these add to their groups; a group is in the round's
-    result when that makes it impossible."""
-    from tidefold.operators.store import stored
-
-    waits = outcome.where("terminal_outcome = 'none'").select("execution_id").distinct()
-    groups = decisions(edge, policy, outcome).join(waits.select(F.col("execution_id").alias("downstream_eid")), "downstream_eid", "left_semi")
-    need = F.when(F.col("kind") == "all_of", F.col("n")).when(F.col("kind") == "any_of", F.lit(1)).otherwise(F.col("k"))
+    One pass over the edges counts the groups of executions that haven't ended.  It keeps a row of
+    each group that is impossible, and of groups that are pending the edges from executions that
+    haven't ended, the only ones that pass a skip on.  These are dealt out by upstream once, so a round
+    moves the nodes skipped in the round before and what they add to their groups; a group is in the
+    round's result when that makes it impossible."""
+    from tidefold.operators.store import dealt, stored
+
+    t = F.col("terminal_outcome")
+    ends = F.when(t == "none", 0).when(t == "success", 1).when(t.isin("failed", "cancelled", "expired", "skipped"), 2).cast("byte")
+    ups = outcome.select(F.col("execution_id").alias("upstream_eid"), ends.alias("up"))
+    waits = outcome.where("terminal_outcome = 'none'").select(F.col("execution_id").alias("downstream_eid")).distinct()
+    # all_of needs more than any k; a group of several policies has several rows, each edge then counts for each of them
+    every = 1 << 40
+    rules = policy.select("downstream_eid", F.when(F.col("kind") == "all_of", every).when(F.col("kind") == "any_of", 1).otherwise(F.col("k")).cast("long").alias("need")).distinct()
+    rows = edge.select("flow_id", "upstream_eid", "downstream_eid").join(ups, "upstream_eid", "left").join(waits, "downstream_eid", "left_semi")
+    # the joins before and after are by downstream, so the counts move nothing
+    group = Window.partitionBy("downstream_eid", "flow_id")
+    counts = {"n": F.count(F.lit(1)), "good": F.count_if(F.col("up") == 1), "bad": F.count_if(F.col("up") == 2), "least": F.min("upstream_eid")}
+    rows = rows.withColumns({c: f.over(group) for c, f in counts.items()}).join(rules, "downstream_eid")
     # spare: how many more bad upstreams a group bears
-    groups = stored(groups.where("state <> 'satisfied'").select("flow_id", "downstream_eid", "state", (F.col("n") - need - F.col("fail") - F.col("skip")).alias("spare")))
-    pending = groups.where("state = 'pending'")
-    passing = edge.select("flow_id", "upstream_eid", "downstream_eid").join(waits.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi")
-    # a group of several policies has several rows, each edge then counts for each of them
-    of = pending.select(F.col("flow_id").alias("of_flow"), F.col("downstream_eid").alias("of_eid"), "spare").distinct()
-    passing = stored(passing.join(of, F.col("flow_id").eqNullSafe(F.col("of_flow")) & (F.col("downstream_eid") == F.col("of_eid"))).drop("of_flow", "of_eid"))
+    rows = rows.withColumn("all", F.when(F.col("need") == every, F.col("n")).otherwise(F.col("need"))).where("good < all").withColumn("spare", F.col("n") - F.col("all") - F.col("bad"))
+    rows = rows.where("IF(spare < 0, upstream_eid <=> least, up = 0)")
+    passing = dealt(rows.select("flow_id", "upstream_eid", "downstream_eid", "need", "spare"), "upstream_eid")
 
     def at(rows, level):
         return stored(rows.select(F.col("downstream_eid").alias("execution_id"), F.lit(level).alias("level")).distinct())
 
-    new = at(groups.where("state = 'impossible'"), 1)
+    new = at(passing.where("spare < 0"), 1)
     skipped, hurt = new, None
     for level in itertools.count(2) if depth is None else range(2, depth + 1):
         if new.isEmpty():
             break
-        keys = ["flow_id", "downstream_eid", "spare"]
-        more = passing.join(new.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("bad"))
+        keys = ["flow_id", "downstream_eid", "need", "spare"]
+        # the hint keeps the dealt edges where they are, unsorted; new nodes are distinct
+        more = passing.where("spare >= 0").join(new.select(F.col("execution_id").alias("upstream_eid")).hint("shuffle_hash"), "upstream_eid", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("bad"))
         if hurt is not None:
             more = more.unionByName(hurt).groupBy(*keys).agg(F.sum("bad").alias("bad"))
         hurt = stored(more)
         # what is skipped for good leaves; a node of several groups is skipped once
         doomed = hurt.where("bad > spare")
         new = at(doomed.join(skipped.select(F.col("execution_id").alias("downstream_eid")), "downstream_eid", "left_anti"), level)
-        hurt = hurt.where("bad <= spare OR spare IS NULL")
+        hurt = hurt.where("bad <= spare")
         skipped = skipped.unionByName(new)
         if level % 8 == 0:
             skipped = stored(skipped)
@@ -123,17 +131,17 @@ def levels(edge: DataFrame) -> DataFrame:
     of whose upstreams are settled, and writes only these and the nodes that still miss some.  Each
     edge carries how many its downstream has.  Nodes on a cycle that a root reaches, or beyond it,
     have no longest distance and are left out; what no root reaches counts for nothing."""
-    from tidefold.operators.store import stored
+    from tidefold.operators.store import dealt, stored
 
     steps = edge.select("upstream_eid", "downstream_eid").where("upstream_eid IS NOT NULL AND downstream_eid IS NOT NULL")
     roots = stored(steps.select("upstream_eid").distinct().join(steps.select(F.col("downstream_eid").alias("upstream_eid")).distinct(), "upstream_eid", "left_anti").select(F.col("upstream_eid").alias("execution_id"), F.lit(0).alias("level")))
 
     def settled(steps):
-        counted = stored(steps.join(steps.groupBy("downstream_eid").agg(F.count(F.lit(1)).alias("n")), "downstream_eid"))
+        counted = dealt(steps.join(steps.groupBy("downstream_eid").agg(F.count(F.lit(1)).alias("n")), "downstream_eid"), "upstream_eid")
         at, done, missing, level = roots, roots, None, 0
         while not at.isEmpty():
             level += 1
-            found = at.select(F.col("execution_id").alias("upstream_eid")).join(counted, "upstream_eid").groupBy("downstream_eid", "n").agg(F.count(F.lit(1)).alias("got"))
+            found = counted.join(at.select(F.col("execution_id").alias("upstream_eid")).hint("shuffle_hash"), "upstream_eid").groupBy("downstream_eid", "n").agg(F.count(F.lit(1)).alias("got"))
             if missing is not None:
                 found = found.unionByName(missing).groupBy("downstream_eid", "n").agg(F.sum("got").alias("got"))
             found = stored(found)

@@ -50,11 +50,6 @@ def flow_eligibility(m):
     return D.flow_eligibility(m.exec_core, m.edge)
 
 
-def derived_once(m, policy):
-    """The edges are read again and again; here they are derived, so they are written once."""
-    return stored(m.edge), policy.select("downstream_eid", "kind", "k", "on_satisfied"), m.exec_core.select("execution_id", "terminal_outcome")
-
-
 #: Only all_of groups, where one bad upstream is enough, so plain reachability is the oracle.
 @query(
     "skip_cascade",
@@ -64,12 +59,12 @@ def derived_once(m, policy):
 SELECT execution_id, CAST(min(level) AS INT) AS level FROM s GROUP BY execution_id""",
 )
 def skip_cascade(m):
-    return D.skip_cascade(*derived_once(m, m.edge_policy.withColumn("kind", F.lit("all_of"))), D.MAX_CASCADE)
+    return D.skip_cascade(m.edge, m.edge_policy.withColumn("kind", F.lit("all_of")), m.exec_core, D.MAX_CASCADE)
 
 
 @query("skip_cascade_mixed")
 def skip_cascade_mixed(m):
-    return D.skip_cascade(*derived_once(m, m.edge_policy), D.MAX_CASCADE)
+    return D.skip_cascade(m.edge, m.edge_policy, m.exec_core, D.MAX_CASCADE)
 
 
 @query(
