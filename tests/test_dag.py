@@ -123,6 +123,37 @@ def test_rounds_leave_the_edges_where_they_are(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_flows_that_tell_without_a_walk(spark):
+    chain = [(i, i + 1) for i in range(12)]
+    edge = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate(chain)], "flow_id long, edge_id long, upstream_eid long, downstream_eid long")
+    tried = edge.selectExpr("-edge_id AS edge_id", "upstream_eid", "downstream_eid")
+    # walks from each of twelve nodes to the end of the chain move 66 nodes again and again
+    assert moved(spark, lambda: dag.would_cycle(edge, tried).collect()) < 140
+    assert dag.would_cycle(edge, tried).isEmpty()
+    # one node more than the bound has: the walk decides
+    assert [r["edge_id"] for r in dag.would_cycle(edge, tried, most=11).orderBy("edge_id").collect()] == [0]
+
+
+def test_cycles_across_flows_against_brute_force(spark):
+    import random
+
+    for seed in (0, 2):
+        rng = random.Random(seed)
+        # flows of ten nodes; in the second graph some edges lead elsewhere, or down, or have no flow
+        edges = [(f, *sorted(rng.sample(range(10 * f, 10 * f + 10), 2))) for f in range(6) for _ in range(9)]
+        edges += [(rng.randrange(6), *sorted(rng.sample(range(60), 2))) for _ in range(4 if seed else 0)]
+        edges += [(rng.choice([2, None]), 27, 22), (None, 55, 51), (4, None, 41), (3, 30, None)] if seed == 2 else []
+        edge = spark.createDataFrame([(f, i, a, b) for i, (f, a, b) in enumerate(edges)], "flow_id long, edge_id long, upstream_eid long, downstream_eid long")
+        tried = [(rng.randrange(60), rng.randrange(60)) for _ in range(60)] + [(a, b) for _, a, b in edges if a and b][::3]
+        below = {i: {i} for i in range(60)}
+        for _ in range(60):
+            below = {i: s.union(*[below.get(b, set()) | {b} for _, a, b in edges if a in s]) - {None} for i, s in below.items()}
+        more = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(tried)], "edge_id long, upstream_eid long, downstream_eid long")
+        for most in (1000, 4):
+            got = sorted(r["edge_id"] for r in dag.would_cycle(edge, more, most).collect())
+            assert got == [i for i, (a, b) in enumerate(tried) if a in below[b] or len(below[b]) > most], (seed, most)
+
+
 def test_cascades_of_groups_with_several_policies(spark):
     edge = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 2, 3), (2, 3, 2, 3), (1, 4, 3, 4), (1, 5, 3, 4), (1, 6, 9, 4), (1, 7, 4, 5)], "flow_id long, edge_id long, upstream_eid long, downstream_eid long")
     rules = [(3, "quorum", 3), (3, "any_of", 1), (3, "quorum", 1), (4, "quorum", 2), (4, "all_of", 1), (4, "all_of", 7), (5, "quorum", None), (5, "any_of", None)]

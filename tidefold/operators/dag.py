@@ -164,18 +164,34 @@ def levels(edge: DataFrame) -> DataFrame:
     return settled(stored(steps.join(reached.select(F.col("execution_id").alias("upstream_eid")), "upstream_eid", "left_semi")))
 
 
+def unsettled(edge: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
+    """Candidates but those that can't close a cycle or pass the bound, as their flow tells: it shares
+    no node with another flow, has ``most`` nodes at most, and all its edges lead to greater ids, while
+    the candidate leads to a greater id too.  Such a walk would stay above its goal and within the flow."""
+    rising = F.coalesce(F.col("flow_id").isNotNull() & (F.col("upstream_eid") < F.col("downstream_eid")), F.lit(False))
+    ends = edge.select(F.explode(F.array("upstream_eid", "downstream_eid")).alias("node"), "flow_id", rising.alias("rising"))
+    nodes = ends.groupBy("node").agg(F.min("flow_id").alias("flow_id"), F.max("flow_id").alias("last"), F.bool_and("rising").alias("rising"))
+    shared = ends.select("node", "flow_id").join(nodes.where("flow_id < last").select("node"), "node", "left_semi").select("flow_id").distinct()
+    flows = nodes.groupBy("flow_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("rising").alias("rising")).where(F.col("rising") & (F.col("n") <= most)).join(shared, "flow_id", "left_anti")
+    up = candidates.where("upstream_eid < downstream_eid").join(nodes.select(F.col("node").alias("downstream_eid"), "flow_id"), "downstream_eid").join(flows.select("flow_id"), "flow_id", "left_semi")
+    return candidates.join(up.select("edge_id"), "edge_id", "left_anti")
+
+
 def would_cycle(edge: DataFrame, candidates: DataFrame, most: int = MAX_VISITED) -> DataFrame:
     """Candidate edges (edge_id, upstream_eid, downstream_eid) that would close a cycle: those from
     whose downstream the upstream can be reached.  Self loops count.  One that visits more than
     ``most`` nodes without an answer is rejected too.
 
-    All candidates walk at once, and each leaves the walk once it has its answer or has passed the
+    Where edges have a flow_id, only candidates that are ``unsettled`` by it walk.  All walk at once, and each leaves the walk once it has its answer or has passed the
     bound, so what is kept of one is bounded by ``most`` nodes and the neighbours of the last ones.
     A round writes only the nodes that are new in it, each with its walk's count and whether that
     has met its goal, so walks that ended are told without a join."""
     from tidefold.operators.store import stored
 
     steps = edge.select(F.col("upstream_eid").alias("node"), F.col("downstream_eid").alias("next"))
+    every = candidates
+    if "flow_id" in edge.columns:
+        candidates = unsettled(edge, candidates, most)
     walk = Window.partitionBy("edge_id")
 
     def reached(rows):
@@ -189,12 +205,14 @@ def would_cycle(edge: DataFrame, candidates: DataFrame, most: int = MAX_VISITED)
         ended = front.where("ended").select("edge_id")
         rejected = ended if rejected is None else rejected.unionByName(ended)
         on = front.where("NOT ended")
+        if on.isEmpty():
+            break
         near = on.join(steps, "node").select("edge_id", "goal", F.col("next").alias("node"), "visited").distinct()
         front = reached(near.join(seen, ["edge_id", "node"], "left_anti").select("edge_id", "goal", "node", "visited"))
         seen = seen.unionByName(front.select("edge_id", "node"))
         if level % 4 == 0:
             seen, rejected = stored(seen.join(front.select("edge_id").distinct(), "edge_id", "left_semi")), stored(rejected.distinct())
-    return candidates.where("false").select("edge_id", "upstream_eid", "downstream_eid") if rejected is None else candidates.join(rejected, "edge_id", "left_semi").select("edge_id", "upstream_eid", "downstream_eid")
+    return every.where("false").select("edge_id", "upstream_eid", "downstream_eid") if rejected is None else every.join(rejected, "edge_id", "left_semi").select("edge_id", "upstream_eid", "downstream_eid")
 
 
 def staged(edge: DataFrame, candidates: DataFrame, executions: DataFrame) -> DataFrame:
