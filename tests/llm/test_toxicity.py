@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from samples import documents
 
 from tidefold.llm import toxicity
 
@@ -109,3 +110,25 @@ def test_null_doc_id_is_never_held_out(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in spark.sql("SELECT CAST(NULL AS LONG) AS doc_id").select(toxicity.held_out(F.col("doc_id"))).collect()] == [False]
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = documents(spark, [(i, f"{'vile awful' if i % 2 else 'kind gentle'} words {i} again again", "en", "web") for i in range(1, 41)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, toxic int")
+    reads = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: reads.add(1) or t).asNondeterministic()
+    plan = toxicity.score(rows.withColumn("text", seen("text")), labels)
+    before = reads.value
+    # the examples are read too, at most all of the rows; scoring itself reads what was counted
+    assert before <= 80 and plan.count() == 40 and plan.collect() and reads.value == before
+
+
+def test_counts_of_terms():
+    known = toxicity.Places({t: i for i, t in enumerate(["word", "word-", "words", "lett-", "other"])})
+    for text in ("", "none of, these.", "Words, word WORDS! other-word letters words3letter word"):
+        places, n = known.counts(text)
+        want = sorted(p for t in toxicity.terms_of(text) if (p := known.known.get(t)) is not None)
+        assert np.repeat(places, n).tolist() == want
+        assert np.cumsum(toxicity.unpacked(toxicity.packed(np.diff(places, prepend=0)))).tolist() == places.tolist() and toxicity.unpacked(toxicity.packed(n)).tolist() == n.tolist()

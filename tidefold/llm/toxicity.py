@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import cut, doc_text, per_worker
+from tidefold.llm.common import cut, doc_text, per_worker, stored
 from tidefold.llm.words import slices
 
 LETTERS = r"[^\W\d_]+"
@@ -75,20 +75,29 @@ class Places(dict):
 
     def __init__(self, known: dict[str, int]):
         self.known = known
+        self.stems = [(n, {t[:n]: p for t, p in known.items() if len(t) == n + 1 and t[n] == "-"}) for n in STEMS]
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         bare = token.rstrip(".,:;!?")
-        words = (bare,) if bare.isalpha() else letters(token)
-        get = self.known.get
-        places = tuple(p for w in words for t in forms(w) if (p := get(t)) is not None)
+        found = []
+        for w in (bare,) if bare.isalpha() else letters(token):
+            if (p := self.known.get(w)) is not None:
+                found.append(p)
+            for n, stem in self.stems:
+                if len(w) > n and (p := stem.get(w[:n])) is not None:
+                    found.append(p)
+        places = tuple(found)
         if len(self) < self.most:
             self[token] = places
         return places
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places, rising, and how often each occurs."""
-        found = np.fromiter(chain.from_iterable(map(self.__getitem__, text.lower().split())), np.int64)
-        return np.unique(found, return_counts=True)
+        """Places, rising, and how often each occurs; what stands again in the text is looked up once."""
+        tokens = Counter(text.lower().split())
+        found = [self[t] for t in tokens]
+        times = np.repeat(np.fromiter(tokens.values(), np.int64, len(tokens)), np.fromiter(map(len, found), np.int64, len(found)))
+        places, at = np.unique(np.fromiter(chain.from_iterable(found), np.int64, len(times)), return_inverse=True)
+        return places, np.bincount(at, weights=times, minlength=len(places)).astype(np.int64)
 
 
 @dataclass
@@ -248,28 +257,51 @@ def passages(sample: DataFrame, passage: int, most: int) -> pa.Table:
     return sample.mapInArrow(run, "doc_id long, label int, terms array<string>, tf array<int>").toArrow()  # a bounded sample
 
 
-def document_frequencies(docs: DataFrame, places: dict[str, int]) -> tuple[int, np.ndarray]:
-    """Number of documents, and in how many of them each term of the vocabulary is."""
+def packed(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, all first bytes first, so that Parquet finds the zeros of small ones together."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def counted(docs: DataFrame, places: dict[str, int]) -> DataFrame:
+    """doc_id, terms (places in the vocabulary, each as the step from the one before) and tf of every
+    row, written: texts are read once, for document frequencies and scores."""
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches):
         known = Places(shared.value)
-        df = np.zeros(len(shared.value) + 1, np.int64)
         for batch in batches:
             for part in slices(batch):
-                for text in part.column("text").to_pylist():
-                    df[known.counts(text)[0]] += 1
-                    df[-1] += 1
+                found = [known.counts(t) for t in part.column("text").to_pylist()]
+                blobs = [pa.array(x, pa.binary()) for x in ([packed(np.diff(p, prepend=0)) for p, _ in found], [packed(n) for _, n in found])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *blobs], names=["doc_id", "terms", "tf"])
+
+    return stored(doc_text(docs).mapInArrow(run, "doc_id long, terms binary, tf binary"))
+
+
+def document_frequencies(counts: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """Number of documents, and in how many of them each of ``size`` terms is."""
+
+    def run(batches):
+        df = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for blob in batch.column("terms"):
+                df[np.cumsum(unpacked(blob.as_py()))] += 1
+                df[-1] += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some])], names=["term", "df"])
 
-    out = np.zeros(len(places) + 1, np.int64)
-    sums = doc_text(docs).select("text").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row per term
+    out = np.zeros(size + 1, np.int64)
+    sums = counts.select("terms").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row per term
     out[sums.column("term").to_numpy()] = sums.column("df").to_numpy()
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, ks: tuple[int, ...], per_class: int, passage: int, most_passages: int, block: int, smooth: float) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, ks: tuple[int, ...], per_class: int, passage: int, most_passages: int, block: int, smooth: float) -> tuple[Model, DataFrame] | None:
+    """The model, and ``counted`` of all rows by its vocabulary."""
     truth = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     sample = cut(examples(docs, truth, per_class))
     shares = {r["label"]: r["n"] for r in truth.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
@@ -279,7 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, ks: tuple[int, ...], per_class: int,
     lists = cuts.column("terms").combine_chunks()
     coded = pc.dictionary_encode(lists.flatten())
     places = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
-    n, df = document_frequencies(docs, places)
+    counts = counted(docs, places)
+    n, df = document_frequencies(counts, len(places))
     ends = np.cumsum(pc.list_value_length(lists).to_numpy())[:-1]
     terms = np.split(coded.indices.to_numpy().astype(np.int64), ends)
     tf = np.split(1 + np.log(cuts.column("tf").combine_chunks().flatten().to_numpy()), ends)
@@ -289,12 +322,12 @@ def fit(docs: DataFrame, labels: DataFrame, ks: tuple[int, ...], per_class: int,
     held = votes.column("label").to_numpy()
     of = np.bincount(held, minlength=2)
     if of.min() < 2:
-        return model
+        return model, counts
     weights = (model.index.prior / of * len(held))[held]
     by = [curve(x, held, weights) for x in np.stack(votes.column("shares").to_pylist()).T]
     best = min(range(len(ks)), key=lambda i: by[i][2])
     model.k, model.slope, model.level = ks[best], *by[best][:2]
-    return model
+    return model, counts
 
 
 def left_out(sample: DataFrame, model: Model, ks: tuple[int, ...]) -> pa.Table:
@@ -316,22 +349,24 @@ def left_out(sample: DataFrame, model: Model, ks: tuple[int, ...]) -> pa.Table:
 
 def score(docs: DataFrame, labels: DataFrame, ks: tuple[int, ...] = (25, 51, 101, 201), evidence: int = 5, per_class: int = 1000, passage: int = 64, most_passages: int = 32, block: int = 64, smooth: float = 1.0) -> DataFrame:
     """doc_id, score, predicted, nearest (doc_ids of the examples with the nearest passages, the evidence)."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ks, per_class, passage, most_passages, block, smooth))  # bounded by per_class, most_passages and passage
+    fitted = fit(docs, labels, ks, per_class, passage, most_passages, block, smooth)
+    if not fitted:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast("array<long>").alias("nearest"))
+    model, counts = fitted
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class, most_passages and passage
 
     def run(batches):
         m = shared.value
-        known = Places(m.places if m else {})
         for batch in batches:
-            for part in slices(batch):
+            for part in (batch.slice(i, QUERIES) for i in range(0, batch.num_rows, QUERIES)):
                 scores, nearest = [], []
-                texts = part.column("text").to_pylist()
-                found = [x for i in range(0, len(texts), QUERIES) for x in m.index.search([known.counts(t) for t in texts[i : i + QUERIES]], m.k)] if m else [((), ())] * len(texts)
-                for rows, cosines in found:
-                    scores.append(m.score(m.index.share(rows, cosines)) if len(rows) else float(m.index.prior[1]) if m else 0.0)
+                queries = [(np.cumsum(unpacked(p)), unpacked(n)) for p, n in zip(part.column("terms").to_pylist(), part.column("tf").to_pylist(), strict=True)]
+                for rows, cosines in m.index.search(queries, m.k):
+                    scores.append(m.score(m.index.share(rows, cosines)) if len(rows) else float(m.index.prior[1]))
                     nearest.append(list(dict.fromkeys(m.index.ids[rows].tolist()))[:evidence] if len(rows) else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(nearest, pa.list_(pa.int64()))],
+                    [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(nearest, pa.list_(pa.int64()))],
                     names=["doc_id", "score", "predicted", "nearest"],
                 )
 
-    return doc_text(docs).mapInArrow(run, SCORED)
+    return counts.mapInArrow(run, SCORED)
