@@ -182,8 +182,8 @@ def would_cycle(edge: DataFrame, candidates: DataFrame, most: int = MAX_VISITED)
     whose downstream the upstream can be reached.  Self loops count.  One that visits more than
     ``most`` nodes without an answer is rejected too.
 
-    Where edges have a flow_id, only candidates that are ``unsettled`` by it walk.  All walk at once, and each leaves the walk once it has its answer or has passed the
-    bound, so what is kept of one is bounded by ``most`` nodes and the neighbours of the last ones.
+    Where edges have a flow_id, only candidates that are ``unsettled`` by it walk.  All walk at once,
+    and each leaves the walk once it has its answer or has passed the bound, so what is kept of one is bounded by ``most`` nodes and the neighbours of the last ones.
     A round writes only the nodes that are new in it, each with its walk's count and whether that
     has met its goal, so walks that ended are told without a join."""
     from tidefold.operators.store import stored
