@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import documents, prose
 
-from tidefold.llm import minhash
+from tidefold.llm import graph, minhash
+from tidefold.llm.common import cut
 from tidefold.llm.graph import components
 
 
@@ -87,3 +89,21 @@ def test_components(spark, shape):
     want = {(x, root(x)) for link in links for x in link if root(x) != x}
     got = components(spark.createDataFrame(links, "a long, b long").repartition(5))
     assert {tuple(r) for r in got.select("node", "root").collect()} == want
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rows = [(i, edited(prose(5, 150), i % 4, i)) for i in range(40)]
+    got = minhash.near_duplicates(documents(spark, [(i, t, "en", "web") for i, t in rows]), block=8).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    stages = [stage for plan in plans for stage in plan.split("Exchange ")]
+    assert any("MapInArrow" in s for s in stages)
+    assert all(s.count("MapInArrow") <= 1 for s in stages)
+
+
+def test_small_batches_are_contracted_together():
+    links = [(i, i + 1) for i in range(50)]
+    batches = [pa.RecordBatch.from_pylist([{"a": a, "b": b}]) for a, b in links]
+    stars = [(r["node"], r["root"]) for batch in graph.union_find(batches) for r in batch.to_pylist()]
+    assert sorted(stars) == [(i, 0) for i in range(1, 51)]

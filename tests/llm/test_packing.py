@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark import SparkContext
 from tokenizers import Tokenizer
 
 from tidefold.llm import packing
@@ -50,3 +51,13 @@ def test_patterns_are_all_exact_fills():
     want = {(0, a, b) for a in (1, 2, 3, 5, 6) for b in (1, 2, 3, 5, 6) if a <= b and a + b == 8}
     want |= {(a, b, c) for a in (1, 2, 3, 5, 6) for b in (1, 2, 3, 5, 6) for c in (1, 2, 3, 5, 6) if a <= b <= c and a + b + c == 8}
     assert got == want
+
+
+def test_plan_starts_no_python_workers(spark, nasty, monkeypatch):
+    def refused(*args, **more):
+        raise AssertionError("rows of the plan pass through Python workers")
+
+    docs = nasty.where("doc_id IS NOT NULL")
+    n = docs.count()
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    assert packing.pack(docs, byte_bpe, 2048).where("piece = 0").count() == n

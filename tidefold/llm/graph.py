@@ -9,9 +9,23 @@ from pyspark.sql import functions as F
 from tidefold.llm.common import cut
 
 
-def _union_find(batches):
-    """Links (a, b) of one batch to a forest of stars (node, root), root the least of its tree."""
+def gathered(batches, links: int = 10_000):
+    """Small batches joined to some of ``links`` rows at least, so that more is contracted at once."""
+    some, n = [], 0
     for batch in batches:
+        if batch.num_rows:
+            some.append(batch)
+            n += batch.num_rows
+        if n >= links:
+            yield pa.concat_batches(some)
+            some, n = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
+def union_find(batches):
+    """Links (a, b) of one batch to a forest of stars (node, root), root the least of its tree."""
+    for batch in gathered(batches):
         parent: dict[int, int] = {}
 
         def root(x):
@@ -30,15 +44,20 @@ def _union_find(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
 
 
-def components(links: DataFrame, salts: int = 32) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
+    """``star_components`` of links (a, b), which union-find contracts an Arrow batch at a time."""
+    return star_components(links.toDF("a", "b").mapInArrow(union_find, "node long, root long"))
+
+
+def star_components(stars: DataFrame, salts: int = 32) -> DataFrame:
     """(node, root) of every linked node but the roots; root is the least node of the component.
 
-    Union-find contracts what a task holds, an Arrow batch at a time.  Between tasks, each round
+    ``stars``: what ``union_find`` made of each task's links.  Between tasks, each round
     gives a node the least of its roots, links its other roots to that one, and follows roots of
     roots, until nothing changes.  Star-shaped groups settle in two or three rounds.  A root that
     most nodes share is looked up under ``salts`` keys, so its nodes spread over as many tasks.
     """
-    stars = cut(links.toDF("a", "b").mapInArrow(_union_find, "node long, root long").distinct())
+    stars = cut(stars.distinct())
     while True:
         least = stars.groupBy("node").agg(F.min("root").alias("least"))
         joined = stars.join(least, "node")

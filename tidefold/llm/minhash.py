@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import cut, doc_text, per_worker, stored
-from tidefold.llm.graph import components
+from tidefold.llm.graph import components, star_components, union_find
 from tidefold.llm.words import M1, M2, Words, grams, mixed, slices, text_bytes
 
 
@@ -169,9 +169,11 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], per_cent: int) -> list[tuple
 
 
 def links(members: DataFrame, per_cent: int) -> DataFrame:
-    """Verified links (a, b) within each block pair of ``members`` (family, i, j, rep, shingles).
+    """Stars (node, root) of the verified links within each block pair of ``members`` (family, i, j,
+    rep, shingles).
 
-    Rows arrive sorted by block pair, so a task holds one pair of blocks at a time."""
+    Rows arrive sorted by block pair, so a task holds one pair of blocks at a time.  Union-find runs
+    in the same Python worker: a second one beside it would stay, with all its memory."""
 
     def run(batches):
         now, ids, sets = None, [], []
@@ -182,15 +184,15 @@ def links(members: DataFrame, per_cent: int) -> DataFrame:
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
-            for key, rep, blob in zip(keys, batch.column("rep").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            for key, rep, blob in zip(keys, batch.column("rep").to_pylist(), batch.column("shingles"), strict=True):
                 if key != now:
                     yield done()
                     now, ids, sets = key, [], []
                 ids.append(rep)
-                sets.append(np.frombuffer(blob, np.uint64))
+                sets.append(np.frombuffer(blob.as_buffer(), np.uint64))
         yield done()
 
-    return members.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").select("family", "i", "j", "rep", "shingles").mapInArrow(run, "a long, b long")
+    return members.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").select("family", "i", "j", "rep", "shingles").mapInArrow(lambda batches: union_find(run(batches)), "node long, root long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, per_cent: int = 85, bands: int = 32, rows: int = 6, slots: int = 193, block: int = 64, most_blocks: int = 48, most_block: int = 2048) -> DataFrame:
@@ -215,7 +217,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, per_cent: int = 85, bands: int
     members = own.join(families, F.col("doc_id") == F.col("rep")).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("family", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "rep", "shingles")
-    roots = components(links(members, per_cent))
+    roots = star_components(links(members, per_cent))
 
     named = classes.select("k1", "k2", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     out = sketched.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")

@@ -237,7 +237,9 @@ def pack(docs: DataFrame, encoder, capacity: int = 2048) -> DataFrame:
             used[length] += n
             offset += length
         base += n
-    steps = spark.createDataFrame([(k, v) for k, v in ranges.items()], "length long, steps array<struct<lo:long,hi:long,base:long,offset:long>>")
+    step_type = pa.list_(pa.struct([(x, pa.int64()) for x in ("lo", "hi", "base", "offset")]))
+    # from Arrow: a list of rows would start Python workers of another kind, which stay
+    steps = spark.createDataFrame(pa.table({"length": pa.array(list(ranges), pa.int64()), "steps": pa.array([[dict(zip(("lo", "hi", "base", "offset"), r, strict=True)) for r in v] for v in ranges.values()], step_type)}))
     before = counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
     # steps has a row per length, capacity at most, whatever the input
     placed = pieces.join(before, ["task", "length"]).join(F.broadcast(steps), "length").withColumn("nth", F.col("nth") + F.col("before"))
