@@ -132,3 +132,29 @@ def test_counts_of_terms():
         want = sorted(p for t in toxicity.terms_of(text) if (p := known.known.get(t)) is not None)
         assert np.repeat(places, n).tolist() == want
         assert np.cumsum(toxicity.unpacked(toxicity.packed(np.diff(places, prepend=0)))).tolist() == places.tolist() and toxicity.unpacked(toxicity.packed(n)).tolist() == n.tolist()
+
+
+def test_search_sorts_no_more_than_it_returns(monkeypatch):
+    rng = np.random.default_rng(2)
+    n, terms, k = 640, 40, 7
+    vectors = [(i, i % 2, np.arange(terms).tolist(), rng.uniform(1, 3, terms).tolist()) for i in range(n)]
+    ix = toxicity.build(vectors, np.ones(terms), (1, 1), 16, 0.5)
+    sizes, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **more: sizes.append(np.size(a)) or argsort(a, *args, **more))
+    rows, cosines = ix.nearest(np.arange(terms), np.ones(terms), k)
+    dense = np.array([v[3] for v in vectors])
+    want = np.sort((dense / np.linalg.norm(dense, axis=1, keepdims=True)).sum(axis=1) / np.sqrt(terms))[::-1][:k]
+    assert np.allclose(cosines, want) and len(rows) == k
+    assert max(sizes) <= k + 3  # ties of the last may be among them
+
+
+def test_ties_go_to_the_earlier_row():
+    ix = toxicity.build([(i, 0, [0, 1], [1.0, 1.0]) for i in range(50)], np.ones(2), (1, 1), 8, 0.5)
+    assert ix.nearest(np.array([0]), np.ones(1), 5)[0].tolist() == [0, 1, 2, 3, 4]
+
+
+def test_tasks_of_a_worker_share_the_places():
+    known = {"ab": 0, "abcd-": 1}
+    kept = toxicity.places_of(known)
+    assert toxicity.places_of(known) is kept and kept["abcdef"] == (1,)
+    assert toxicity.places_of(dict(known)) is not kept

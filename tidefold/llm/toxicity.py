@@ -100,6 +100,14 @@ class Places(dict):
         return places, np.bincount(at, weights=times, minlength=len(places)).astype(np.int64)
 
 
+def places_of(known: dict[str, int]) -> Places:
+    """``Places`` of a broadcast vocabulary, kept for a worker's later tasks with the same one."""
+    kept = per_worker(("places",), dict)
+    if kept.get("known") is not known:
+        kept.update(known=known, places=Places(known))
+    return kept["places"]
+
+
 @dataclass
 class Index:
     """Unit vectors of passages: lists of rare terms, columns of common ones with block maxima."""
@@ -119,9 +127,15 @@ class Index:
     def rare_parts(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
         """What the lists of rare terms add to each row, block x row of the block."""
         blocks, block, _ = self.dense.shape
-        lengths = self.starts[terms + 1] - self.starts[terms]
-        at = np.repeat(self.starts[terms] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        return np.bincount(self.rows[at], weights=self.weights[at] * np.repeat(q.astype(np.float32), lengths), minlength=blocks * block).astype(np.float32).reshape(blocks, block)
+        starts = self.starts[terms]
+        lengths = self.starts[terms + 1] - starts
+        some = np.flatnonzero(lengths)
+        starts, lengths = starts[some], lengths[some]
+        at = np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+        at += np.arange(len(at))
+        added = self.weights.take(at)
+        added *= np.repeat(q[some].astype(np.float32), lengths)
+        return np.bincount(self.rows.take(at), weights=added, minlength=blocks * block).astype(np.float32).reshape(blocks, block)
 
     def nearest(self, terms: np.ndarray, tf: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest passages (ties: earlier row), cosine above 0 only; none of document ``but``."""
@@ -152,13 +166,21 @@ class Index:
         alike = np.argsort(common.argmax(axis=1), kind="stable") if width else np.arange(len(queries))
         for group in (alike[i : i + 16] for i in range(0, len(alike), 16)):
             some = np.flatnonzero(alive[group].any(axis=0))
+            if 2 * len(some) > blocks:  # then a copy of these costs more than the others' products
+                some = np.arange(blocks)
             held = self.dense if len(some) == blocks else self.dense[some]
             added = common[group] @ held.reshape(-1, width).T
             for i, more in zip(group.tolist(), added, strict=True):
-                scores = parts[i][some].ravel() + more
-                best = np.flatnonzero((scores > 0) & (scores >= kth[i] - 1e-5))
-                best = best[np.argsort(-scores[best], kind="stable")[:k]]
-                out[i] = some[best // block] * block + best % block, scores[best].astype(float)
+                scores = (parts[i] if len(some) == blocks else parts[i][some]).ravel() + more
+                low = kth[i] - 1e-5
+                best = np.flatnonzero(scores >= low if low > 0 else scores > 0)
+                values = scores[best]
+                if len(best) > k:  # only the k best, and ties of the last, are sorted
+                    good = values >= np.partition(values, len(best) - k)[len(best) - k]
+                    best, values = best[good], values[good]
+                first_k = np.argsort(-values, kind="stable")[:k]
+                best = best[first_k]
+                out[i] = some[best // block] * block + best % block, values[first_k].astype(float)
         return out
 
     def share(self, rows: np.ndarray, cosines: np.ndarray) -> float:
@@ -272,7 +294,7 @@ def counted(docs: DataFrame, places: dict[str, int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches):
-        known = Places(shared.value)
+        known = places_of(shared.value)
         for batch in batches:
             for part in slices(batch):
                 found = [known.counts(t) for t in part.column("text").to_pylist()]
