@@ -155,3 +155,14 @@ def test_battery_against_brute_force(spark):
             logp, cls = want
             assert r["b"]["cls"] == cls and (r["b"]["logp"] is None) == (logp is None)
             assert logp is None or abs(r["b"]["logp"] - logp) < 1e-6 * max(1, abs(logp))
+
+
+def test_plans_hold_the_battery_once(spark, monkeypatch):
+    plans = []
+    cuts = secrets.cuts
+    monkeypatch.setattr(secrets, "cuts", lambda *args: plans.append(cuts(*args)) or plans[-1])
+    plans.append(secrets.mask(documents(spark, [(1, "password = abcdef1", "en", "web")])))
+    for plan in (df._jdf.queryExecution().executedPlan().toString() for df in plans):
+        assert plan.count(secrets.ACCESS) <= 4
+        assert len(plan) < 60_000  # the driver keeps it, and sends it out with every stage's tasks
+    assert not any(x in plan for x in ("Exchange", "Join"))

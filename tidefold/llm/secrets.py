@@ -26,6 +26,8 @@ A random span inside a base span is left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,16 +108,12 @@ def normal_tail(z: Column) -> Column:
 
 def battery(token: Column, tolerance: float) -> Column:
     """struct<logp, cls> of a token: -ln of its chance as natural text, or null if a test rejects it."""
-    bare = F.regexp_replace(token, r"=+\z", "")
-    low, up, num = bare.rlike("[a-z]"), bare.rlike("[A-Z]"), bare.rlike("[0-9]")
-    hexa = num & ((low & bare.rlike(r"\A[0-9a-f]+\z")) | (up & bare.rlike(r"\A[0-9A-F]+\z")))
-    b32 = num & bare.rlike(r"\A[A-Z2-7]+\z")
-    name = F.when(hexa, "hex").when(b32, "base32").when(low & up & num, "base64")
-    plain = F.when(name == "hex", F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
 
-    def pick(i):
-        c = F.when(name == "hex", F.lit(ALPHABETS["hex"][i]))
-        return c.when(name == "base32", F.lit(ALPHABETS["base32"][i])).when(name == "base64", F.lit(ALPHABETS["base64"][i]))
+    def alphabet(bare: Column) -> Column:
+        low, up, num = bare.rlike("[a-z]"), bare.rlike("[A-Z]"), bare.rlike("[0-9]")
+        hexa = num & ((low & bare.rlike(r"\A[0-9a-f]+\z")) | (up & bare.rlike(r"\A[0-9A-F]+\z")))
+        b32 = num & bare.rlike(r"\A[A-Z2-7]+\z")
+        return F.struct(bare.alias("bare"), F.when(hexa, "hex").when(b32, "base32").when(low & up & num, "base64").alias("name"))
 
     # each value is computed once and named by an inner struct, as in nested LETs
     def judged(v: Column) -> Column:
@@ -168,8 +166,18 @@ def battery(token: Column, tolerance: float) -> Column:
         at = F.transform(F.split(v["t"], ""), lambda c: F.instr(v["letters"], c).cast("double"))
         return let(F.struct(at.alias("at"), F.char_length(v["letters"]).cast("double").alias("a"), v["natural"].alias("natural"), v["rate"].alias("rate"), F.regexp_count(v["t"], F.lit(CHANGE)).cast("double").alias("changes")), counted)
 
-    letters = let(F.struct(plain.alias("t"), pick(0).alias("letters"), pick(1).cast("double").alias("natural"), pick(2).cast("double").alias("rate")), counted_from)
-    return F.when(name.isNotNull(), letters)
+    def tested(v: Column) -> Column:
+        bare, name = v["bare"], v["name"]
+        plain = F.when(name == "hex", F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
+
+        def pick(i):
+            c = F.when(name == "hex", F.lit(ALPHABETS["hex"][i]))
+            return c.when(name == "base32", F.lit(ALPHABETS["base32"][i])).when(name == "base64", F.lit(ALPHABETS["base64"][i]))
+
+        letters = let(F.struct(plain.alias("t"), pick(0).alias("letters"), pick(1).cast("double").alias("natural"), pick(2).cast("double").alias("rate")), counted_from)
+        return F.when(name.isNotNull(), letters)
+
+    return let(let(F.regexp_replace(token, r"=+\z", ""), alphabet), tested)
 
 
 def outside(base: Column, candidates: Column) -> Column:
@@ -203,7 +211,9 @@ def found(docs: DataFrame, least: int, tolerance: float, *more: Column) -> DataF
 
 def cuts(rows: DataFrame, fdr: float) -> DataFrame:
     """Benjamini-Hochberg: for each class of lengths, the lowest bin that is still accepted."""
-    bins = rows.select(F.explode("candidates").alias("c")).groupBy(F.col("c.b.cls").alias("cls"), bin_of(F.col("c.b.logp")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # not plain explode: for it the optimizer filters by size, under a copy of all that makes candidates
+    each = rows.select(F.explode_outer("candidates").alias("c")).where(F.col("c").isNotNull())
+    bins = each.groupBy(F.col("c.b.cls").alias("cls"), bin_of(F.col("c.b.logp")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("cls").orderBy(F.desc("bin"))
     ranked = bins.select("cls", "bin", F.sum("n").over(down).alias("k"), F.sum("n").over(Window.partitionBy("cls")).alias("m"))
     # p of a bin is exp(-bin / BINS_PER_E) at most
@@ -222,12 +232,16 @@ def scan(docs: DataFrame, least: int = 20, tolerance: float = 3.3, fdr: float =
     more = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole else []
     rows = found(docs, least, tolerance, *more)
     seen = rows if whole else cut(rows)
-    table = cuts(seen, fdr)
-    # one row: a map of three entries at most, one for each class of lengths
-    bounds = table.agg(F.map_from_entries(F.collect_list(F.struct("cls", "least_bin"))).alias("bounds"))
-    rows = seen.join(F.broadcast(bounds), how="cross")
-    passed = F.filter("candidates", lambda c: bin_of(c["b"]["logp"]) >= F.coalesce(F.try_element_at("bounds", c["b"]["cls"]), F.lit(LAST_BIN + 1)))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", kind(passed, "random"))).alias("spans"), *["row"] * whole)
+    # three rows at most, one for each class of lengths; as literals they keep joins, and a second
+    # copy of all these expressions, out of the plan that the driver sends with every task
+    bounds = {row["cls"]: row["least_bin"] for row in cuts(seen, fdr).collect()}
+
+    def accepted(c: Column) -> Column:
+        least_bin = reduce(lambda other, cls: F.when(c["b"]["cls"] == cls, bounds[cls]).otherwise(other), sorted(bounds), F.lit(LAST_BIN + 1))
+        return bin_of(c["b"]["logp"]) >= least_bin
+
+    passed = F.filter("candidates", accepted)
+    return seen.select("doc_id", "base", F.array_sort(F.concat("base", kind(passed, "random"))).alias("spans"), *["row"] * whole)
 
 
 def written(spans: Column) -> Column:
